@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality, token_counts
 
-QUERIES = {"op1_quality_rules": quality.query}
+QUERIES = {"op1_quality_rules": quality.query, "op6_packing": packing.query, "op10_token_counts": token_counts.query}
 ORACLES = {"op1_quality_rules": quality.ORACLE_SQL}
