@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, ngram_join, packing, quality, sharding, token_counts, urlfilter
+from . import fingerprints, langid, ngram_join, packing, quality, sharding, token_counts, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_filter": urlfilter.query,
     "op6_packing": packing.query,
     "op7_ngram_jaccard_join": ngram_join.query,
+    "op8_fingerprints": fingerprints.query,
     "op10_token_counts": token_counts.query,
 }
 ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op2_sharding": sharding.ORACLE_SQL, "op5_url_filter": urlfilter.ORACLE_SQL, "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL}
