@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, ngram_join, packing, quality, sharding, token_counts, urlfilter
+from . import fingerprints, html_extract, langid, ngram_join, packing, quality, sharding, token_counts, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_packing": packing.query,
     "op7_ngram_jaccard_join": ngram_join.query,
     "op8_fingerprints": fingerprints.query,
+    "op9_html_extraction": html_extract.query,
     "op10_token_counts": token_counts.query,
 }
 ORACLES = {"op1_quality_rules": quality.ORACLE_SQL, "op2_sharding": sharding.ORACLE_SQL, "op5_url_filter": urlfilter.ORACLE_SQL, "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL}
