@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_extract, langid, ngram_join, packing, quality, sharding, token_counts, urlfilter
+from . import fingerprints, html_extract, langid, nbest, ngram_join, packing, quality, sharding, token_counts, urlfilter
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_sharding": sharding.query,
+    "op3_sentencepiece_nbest": nbest.query,
     "op4_language_id": langid.query,
     "op5_url_filter": urlfilter.query,
     "op6_packing": packing.query,
