@@ -125,7 +125,7 @@ def reports(d) -> str:
 
 def boxes(d) -> str:
     """Detections as boxes, several of each marker in an image."""
-    return "box AS (SELECT c_custkey AS k, c_nationkey % 5 AS img, c_custkey % 7 AS id, CAST(c_custkey * 37 % 200 AS INT) AS x, CAST(c_custkey * 91 % 200 AS INT) AS y, 40 AS w, CAST(c_custkey % 3 AS INT) AS ham FROM customer WHERE c_custkey % 4 = 0)"
+    return f"box AS (SELECT c_custkey AS k, {d.div('c_custkey', '100')} AS img, c_custkey % 3 AS id, CAST(c_custkey * 37 % 200 AS INT) AS x, CAST(c_custkey * 91 % 200 AS INT) AS y, 40 AS w, CAST(c_custkey % 5 AS INT) AS ham FROM customer)"
 
 
 OVERLAP = "a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.w AND b.y <= a.y + a.w"
