@@ -13,7 +13,9 @@ A pair at the threshold shares no band with a chance of (1 - t^ROWS)^BANDS, 3e-6
 about ``tolerance`` at each stretch. Windows are compared by 64-bit hashes.
 
 Defined cases: a null text is a class of its own, with no links. Equal texts without a word are copies but have no
-links. Repeated rows are copies like any others. An empty table gives an empty result.
+links. Repeated rows are copies like any others. Rows that share an id but not the text are one document: what is
+linked to either is in its class. Null ids take part, but a class or copy whose ids are all null has a null number;
+ids must be under 2^62. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
 BANDS, ROWS = 32, 5
 STRETCH = 32
 BLOCK = 1024
+#: Classes whose ids are all null get numbers from here on.
+NAMELESS = 1 << 62
 _WORD = re.compile(WORD_PATTERN)
 _MASK = (1 << 64) - 1
 
@@ -172,7 +176,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(sigs, pa.binary())], ["id", "key", "sig"])
 
     signed = source.mapInArrow(sign, "id long, key binary, sig binary")
-    return signed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.any_value("sig").alias("sig"))
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("key"), F.lit(NAMELESS >> 1))
+    return signed.groupBy("key").agg(F.coalesce(F.min("id"), nameless).alias("rep"), F.count("*").alias("size"), F.any_value("sig").alias("sig"))
 
 
 def _memberships(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +286,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
     members = reps.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep").join(sizes, "comp")
     members = materialize(members.select("key", "rep", "comp", "size"), "members")
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("key"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(F.col(text_col).cast("string"))).alias("key"), F.col(text_col).cast("string").alias("text"))
     small = members.count() <= MAX_BROADCAST_ROWS
-    found = texts.join(F.broadcast(members) if small else members, ["key", "rep"]).dropDuplicates(["rep"])
+    found = texts.join(F.broadcast(members) if small else members, ["key"]).dropDuplicates(["key"])
     links, edges = verify(found, threshold, width)
     linked = materialize(components(edges), "linked")
     of_rep = reps.select("key", "rep", "size").join(linked.select(F.col("node").alias("rep"), F.col("comp")), "rep", "left").join(links, "rep", "left")
@@ -291,7 +296,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     own = docs.select(F.col(id_col), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("__q_key"))
     out = own.join(of_rep, F.col("__q_key") == F.col("r_key"), "left")
     mine = F.col(id_col).cast("long")
-    return out.select(F.col(id_col), F.coalesce("class_id", mine).alias("class_id"), F.coalesce("copy_id", mine).alias("copy_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = lambda c: F.when(F.coalesce(F.col(c), mine) < NAMELESS, F.coalesce(F.col(c), mine)).alias(c)
+    return out.select(F.col(id_col), named("class_id"), named("copy_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
