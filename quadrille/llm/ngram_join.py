@@ -293,6 +293,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     linked = materialize(components(edges), "linked")
     of_rep = reps.select("key", "rep", "size").join(linked.select(F.col("node").alias("rep"), F.col("comp")), "rep", "left").join(links, "rep", "left")
     of_rep = of_rep.select(F.col("key").alias("r_key"), F.col("rep").alias("copy_id"), F.col("size").alias("n_copies"), F.coalesce("comp", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    # A table of its own, so that both sides of the join come straight from their shuffles and a hot text is split.
+    of_rep = materialize(of_rep, "of-texts")
     own = docs.select(F.col(id_col), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("__q_key"))
     out = own.join(of_rep, F.col("__q_key") == F.col("r_key"), "left")
     mine = F.col(id_col).cast("long")
