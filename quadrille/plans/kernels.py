@@ -82,22 +82,26 @@ def noise_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of 16 x 16 images that the first 16 values of embeddings make, by their first pixel and size."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id >= 0").select(F.floor(F.col("vec_id") / 16).cast("long").alias("img"), (F.col("vec_id") % 16).cast("int").alias("y"), F.transform(F.slice("embedding", 1, 16), lambda e: F.when(F.abs(e.cast("double")) * 1000 % 3 >= 2, 127).when(e > 0, 255).otherwise(0).cast("int")).alias("v"))
+    """Regions of the 8 x 8 images that embeddings make, by their first pixel and size."""
+    value = lambda e: F.when(F.abs(e.cast("double")) * 1000 % 3 >= 2, 127).when(e > 0, 255).otherwise(0).cast("int")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("img"), F.transform("embedding", value).alias("v"))
 
-    def size(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        img = np.full((16, 16), pixels.UNKNOWN, np.uint8)
-        img[pdf["y"].to_numpy()] = np.stack(pdf["v"].to_numpy())
-        region, sizes = regions.label(img)
-        roots = np.unique(region[img != pixels.UNKNOWN])
-        return pd.DataFrame({"img": key[0], "root": roots, "size": sizes[roots]})
+    def size(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for image, v in zip(b.column("img").to_pylist(), b.column("v").to_pylist(), strict=True):
+                img = np.array(v, np.uint8).reshape(-1, 8)
+                region, sizes = regions.label(img)
+                out += [(image, int(r), int(sizes[r])) for r in np.unique(region[img != pixels.UNKNOWN])]
+            cols = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["img", "root", "size"])
 
-    return rows.groupBy("img").applyInPandas(size, "img long, root long, size long")
+    return rows.mapInArrow(size, "img long, root long, size long")
 
 
 COMPONENTS_SQL = """
-WITH RECURSIVE px AS (SELECT vec_id // 16 AS img, (vec_id % 16) * 16 + pos AS p, (vec_id % 16) AS y, pos AS x, CASE WHEN abs(CAST(e AS DOUBLE)) * 1000 % 3 >= 2 THEN 127 WHEN e > 0 THEN 255 ELSE 0 END AS v
-    FROM (SELECT vec_id, unnest(range(0, 16)) AS pos, unnest(embedding[1:16]) AS e FROM embeddings) s),
+WITH RECURSIVE px AS (SELECT vec_id AS img, pos AS p, pos // 8 AS y, pos % 8 AS x, CASE WHEN abs(CAST(e AS DOUBLE)) * 1000 % 3 >= 2 THEN 127 WHEN e > 0 THEN 255 ELSE 0 END AS v
+    FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS e FROM embeddings) s),
 nb AS (SELECT a.img, a.p, b.p AS q FROM px a JOIN px b ON a.img = b.img AND a.v = b.v AND a.v <> 127 AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (abs(a.x - b.x) + abs(a.y - b.y) = 1 OR (a.v = 255 AND a.p <> b.p))),
 reach AS (SELECT img, p, p AS low FROM px WHERE v <> 127 UNION SELECT r.img, r.p, nb.q FROM reach r JOIN nb ON nb.img = r.img AND nb.p = r.low WHERE nb.q < r.p OR nb.q > r.p),
 rt AS (SELECT img, p, min(low) AS root FROM reach GROUP BY img, p)

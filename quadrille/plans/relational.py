@@ -46,8 +46,8 @@ def blurred(d) -> str:
 
 def points(d) -> str:
     """Clusters of points with gradients, numbered in a total order."""
-    return f"""pt AS (SELECT l_suppkey % 512 AS c, CAST(l_partkey % 400 AS INT) AS x, CAST(l_orderkey % 300 AS INT) AS y, CASE WHEN l_linenumber % 2 = 0 THEN 255 ELSE 0 END AS gx, CASE WHEN l_quantity > 25 THEN 255 ELSE -255 END AS gy,
-        CAST(row_number() OVER (PARTITION BY l_suppkey % 512 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS i FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00')"""
+    return f"""pt AS (SELECT l_suppkey AS c, CAST(l_partkey % 400 AS INT) AS x, CAST(l_orderkey % 300 AS INT) AS y, CASE WHEN l_linenumber % 2 = 0 THEN 255 ELSE 0 END AS gx, CASE WHEN l_quantity > 25 THEN 255 ELSE -255 END AS gy,
+        CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS i FROM lineitem)"""
 
 
 def weights(d) -> str:
@@ -112,9 +112,11 @@ def bit_cells(d, n: int = 8) -> str:
 
 
 def found(d) -> str:
-    """Truth and detections of scenes: events of a user are an image's markers."""
-    return """truth AS (SELECT img, fam, row_number() OVER (PARTITION BY img, fam ORDER BY k) AS n, k, x FROM (SELECT user_id % 997 AS img, event_type AS fam, event_id AS k, value AS x FROM events WHERE event_id % 3 <> 0) t),
-        det AS (SELECT img, fam, row_number() OVER (PARTITION BY img, fam ORDER BY k) AS n, k, x FROM (SELECT user_id % 997 AS img, event_type AS fam, event_id AS k, value + 1 AS x FROM events WHERE event_id % 4 <> 0) t),
+    """Truth and detections of scenes: events of a user are an image's markers. Faint ones (by value) aren't detected, and
+    bright ones are twice."""
+    return """ev AS (SELECT user_id AS img, event_type AS fam, event_id AS k, value AS x FROM events),
+        truth AS (SELECT *, row_number() OVER (PARTITION BY img, fam ORDER BY k) AS n FROM ev),
+        det AS (SELECT *, row_number() OVER (PARTITION BY img, fam ORDER BY k, x) AS n FROM (SELECT img, fam, k, x + 1 AS x FROM ev WHERE x >= 20 UNION ALL SELECT img, fam, k, x + 2 FROM ev WHERE x >= 70) t),
         pair AS (SELECT t.img, t.fam, t.n, t.k AS tk, dt.k AS dk, (dt.x - t.x) * (dt.x - t.x) + CAST(t.k % 5 AS DOUBLE) AS sq FROM truth t LEFT JOIN det dt ON t.img = dt.img AND t.fam = dt.fam AND t.n = dt.n)"""
 
 
@@ -146,7 +148,7 @@ TEMPLATES: dict[str, Callable] = {
     "deglitch": lambda d: with_(pixels(d), ternary(d), f"dil AS (SELECT n.img, n.y, n.x, max(n.v) AS v FROM ({around(d, 'tern', 'y', 'x', 'v')}) n JOIN tern t ON t.img = n.img AND t.y = n.y AND t.x = n.x GROUP BY n.img, n.y, n.x)")
     + f"SELECT n.img, n.y, n.x, min(n.v) AS v FROM ({around(d, 'dil', 'y', 'x', 'v')}) n JOIN dil t ON t.img = n.img AND t.y = n.y AND t.x = n.x GROUP BY n.img, n.y, n.x",
     "edge_points": lambda d: with_(pixels(d), ternary(d), "off AS (SELECT dx, dy FROM (VALUES (1, 0), (0, 1), (-1, 1), (1, 1)) t(dx, dy))",
-        "hit AS (SELECT a.img, a.y, a.x, dx, dy, b.v - a.v AS step FROM tern a CROSS JOIN off JOIN tern b ON b.img = a.img AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.v + b.v = 255 AND a.x BETWEEN 1 AND 62)",
+        "hit AS (SELECT a.img, a.y, a.x, dx, dy, b.v - a.v AS step FROM tern a CROSS JOIN off JOIN tern b ON b.img = a.img AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.v + b.v = 255 AND a.x BETWEEN 1 AND 62 AND a.y BETWEEN 1 AND 62)",
         "diag AS (SELECT img, y, x + 1 AS x FROM hit WHERE dx = 1 AND dy = 1)")
     + "SELECT h.img, 2 * h.x + dx AS px, 2 * h.y + dy AS py, dx * step AS gx, dy * step AS gy FROM hit h LEFT JOIN diag g ON g.img = h.img AND g.y = h.y AND g.x = h.x AND h.dx = -1 WHERE g.img IS NULL",
     "clusters_having": lambda d: with_(pixels(d), ternary(d)) + f"SELECT img, {d.div('y', '8')} AS cy, {d.div('x', '8')} AS cx, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM tern WHERE v = 255 GROUP BY img, {d.div('y', '8')}, {d.div('x', '8')} HAVING count(*) >= 24",
@@ -180,8 +182,8 @@ TEMPLATES: dict[str, Callable] = {
     "layout_symmetry": lambda d: with_(classic_cells(d, 10)) + "SELECT count(*) AS cells, count(CASE WHEN a.cell <> b.cell THEN 1 END) AS broken FROM cell a JOIN cell b ON b.x = 9 - a.y AND b.y = a.x",
     "bit_locations": lambda d: with_(bit_cells(d, 10)) + "SELECT b, x - 1 AS x, y - 1 AS y FROM bits",
     "render_cells": lambda d: with_(codes(d), bit_cells(d)) + "SELECT id, c.x, c.y, CASE cell WHEN 'w' THEN 255 WHEN 'b' THEN 0 ELSE CAST(255 * ((code >> (15 - b)) & 1) AS INT) END AS v FROM code CROSS JOIN cell c LEFT JOIN bits ON bits.x = c.x AND bits.y = c.y",
-    "decode_margin": lambda d: with_("sm AS (SELECT vec_id AS k, pos, CAST(e AS DOUBLE) AS v FROM (" + d.PIXELS + ") s WHERE pos < 16)")
-    + "SELECT k, CAST(sum(CASE WHEN v > 0 THEN 1 << CAST(15 - pos AS INT) ELSE 0 END) AS BIGINT) AS code, round(least(coalesce(sum(CASE WHEN v > 0 THEN v END), 0) / (1 + count(CASE WHEN v > 0 THEN 1 END)), coalesce(-sum(CASE WHEN v <= 0 THEN v END), 0) / (1 + count(CASE WHEN v <= 0 THEN 1 END))), 6) AS margin FROM sm GROUP BY k",
+    "decode_margin": lambda d: with_("sm AS (SELECT vec_id AS k, CAST(pos AS INT) % 16 AS pos, " + d.div('CAST(pos AS INT)', '16') + " AS part, CAST(e AS DOUBLE) AS v FROM (" + d.PIXELS + ") s)")
+    + "SELECT k, part, CAST(sum(CASE WHEN v > 0 THEN 1 << CAST(15 - pos AS INT) ELSE 0 END) AS BIGINT) AS code, round(least(coalesce(sum(CASE WHEN v > 0 THEN v END), 0) / (1 + count(CASE WHEN v > 0 THEN 1 END)), coalesce(-sum(CASE WHEN v <= 0 THEN v END), 0) / (1 + count(CASE WHEN v <= 0 THEN 1 END))), 6) AS margin FROM sm GROUP BY k, part",
     "overlap_sat": lambda d: with_(boxes(d)) + f"SELECT a.k AS a, b.k AS b FROM box a JOIN box b ON a.img = b.img AND a.id = b.id AND a.k < b.k AND {OVERLAP}",
     "dedup_best": lambda d: with_(boxes(d)) + f"SELECT k, img, id, ham FROM box a WHERE NOT EXISTS (SELECT 1 FROM box b WHERE a.img = b.img AND a.id = b.id AND a.k <> b.k AND {OVERLAP} AND (b.ham < a.ham OR (b.ham = a.ham AND b.k < a.k)))",
     "match_truth": lambda d: with_(found(d)) + "SELECT img, fam, CAST(n AS BIGINT) AS n, tk, dk FROM pair",
