@@ -7,8 +7,8 @@ single digest recovers the rest. Where peeling fails, both are sketched again at
 the text of a sketch with ``CELLS`` cells. The likeness of two texts is the number of digests that both have over those
 that either has, from their counts and the number recovered; of two empty texts it is 1.
 
-To set a document beside the next one in falling id order, rows are dealt to ranges of ids and streamed in order, so no
-task holds more than a stretch of its range. Splitters are ids that exist, drawn by a hash; the row with a splitter's
+To set a document beside the next one in falling id order, rows are dealt to ranges of ids, a partition for each range,
+and streamed in order, so no task holds more than a stretch of its range. Splitters are ids that exist, drawn by a hash; the row with a splitter's
 id also ends the range before it, which closes the gap between ranges.
 
 Defined cases: a null text counts as empty; equal ids are ordered by their texts; null ids come last; the last row is
@@ -33,7 +33,7 @@ from .common import text_or_empty
 
 CELLS, GROWTH = 18, 4
 BLOCK = 48
-RANGE_BYTES, MIN_RANGES, OVERSAMPLE = 64 << 20, 32, 8
+RANGE_BYTES, MIN_RANGES, OVERSAMPLE = 64 << 20, 64, 8
 STRETCH_CHARS = 1_000_000
 _CUT = re.compile(r"\n+|(?<=[.!?]) +")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -206,7 +206,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     own, before = F.struct(F.col("range").alias("range"), F.lit(0).alias("last")), F.struct(F.pmod(F.col("range") - 1, F.lit(max(n, 1))).cast("int").alias("range"), F.lit(1).alias("last"))
     placed = placed.withColumn("at", F.explode(F.when(F.col("opens"), F.array(own, before)).otherwise(F.array(own))))
     placed = placed.select("at.range", "at.last", "id", "text")
-    return placed.repartition("range").sortWithinPartitions("range", "last", F.desc("id"), "text")
+    return placed.repartitionById(max(n, 1), F.col("range")).sortWithinPartitions("range", "last", F.desc("id"), "text")
 
 
 def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, str, str]]:
