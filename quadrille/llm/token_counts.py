@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import shared_path, text_or_empty
+from .common import materialize, shared_path, text_or_empty
 
 SCHEMA = "digest binary, n_tokens long, version string"
 MADE = ["n_bytes", "n_tokens", "over_limit"]
@@ -63,7 +63,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, text_col: str = "t
     keyed = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias("__q_text"))
     keyed = keyed.select(*[F.col(f"`{c}`") for c in keep], F.octet_length("__q_text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("__q_text"), 256)).alias("__q_digest"))
     stored = docs.sparkSession.read.schema(SCHEMA).parquet(cache).where(F.col("version") == encoders.version(tokenizer))
-    stored = stored.groupBy(F.col("digest").alias("__q_stored")).agg(F.max("n_tokens").alias("n_tokens"))
+    # As a table of its own, so that both sides of the join come straight from their shuffles and a hot digest is split.
+    stored = materialize(stored.groupBy(F.col("digest").alias("__q_stored")).agg(F.max("n_tokens").alias("n_tokens")), "counts")
     out = keyed.join(stored, F.col("__q_digest") == F.col("__q_stored"))
     return out.select(*[F.col(f"`{c}`") for c in keep], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
