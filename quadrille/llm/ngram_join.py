@@ -277,11 +277,9 @@ def verify(members: DataFrame, threshold: float, width: int) -> tuple[DataFrame,
     return found.groupBy("rep").agg(F.sum("links").alias("links")), found.where("low <> rep").select(F.col("rep").alias("u"), F.col("low").alias("v"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """A row for each of docs: its id, ``class_id`` (the least id of the documents that chains of links join to it),
-    ``copy_id`` (the least id with an equal text), ``n_copies`` (rows with an equal text) and ``n_links`` (distinct
-    other texts with a similarity of at least threshold)."""
-    reps = materialize(classes(docs, id_col, text_col, width), "classes")
+def of_texts(docs: DataFrame, reps: DataFrame, text_col: str, width: int, threshold: float, tolerance: float) -> DataFrame:
+    """reps: what classes() gives, as a table. A row for each of docs' texts: its digest ``r_key`` and, in the numbers of
+    ``rep``, ``copy_id`` and ``class_id``; ``n_copies`` and ``n_links``."""
     groups = materialize(components(candidates(reps, threshold, tolerance)), "groups")
     sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
     members = reps.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep").join(sizes, "comp")
@@ -294,7 +292,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     of_rep = reps.select("key", "rep", "size").join(linked.select(F.col("node").alias("rep"), F.col("comp")), "rep", "left").join(links, "rep", "left")
     of_rep = of_rep.select(F.col("key").alias("r_key"), F.col("rep").alias("copy_id"), F.col("size").alias("n_copies"), F.coalesce("comp", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
     # A table of its own, so that both sides of the join come straight from their shuffles and a hot text is split.
-    of_rep = materialize(of_rep, "of-texts")
+    return materialize(of_rep, "of-texts")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """A row for each of docs: its id, ``class_id`` (the least id of the documents that chains of links join to it),
+    ``copy_id`` (the least id with an equal text), ``n_copies`` (rows with an equal text) and ``n_links`` (distinct
+    other texts with a similarity of at least threshold)."""
+    reps = materialize(classes(docs, id_col, text_col, width), "classes")
+    of_rep = of_texts(docs, reps, text_col, width, threshold, tolerance)
     own = docs.select(F.col(id_col), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("__q_key"))
     out = own.join(of_rep, F.col("__q_key") == F.col("r_key"), "left")
     mine = F.col(id_col).cast("long")
@@ -306,14 +312,33 @@ def query(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """docs without the rows whose class has a lesser id; of rows with one id and one class, one stays."""
-    found = materialize(join(docs, id_col, **kw).select(F.col(id_col).alias("__q_id"), "class_id"), "class-ids")
-    lost = found.where(F.col("__q_id").cast("long") != F.col("class_id")).select("__q_id").distinct()
-    lost = F.broadcast(lost) if lost.count() <= MAX_BROADCAST_ROWS else lost
-    out = docs.join(lost, docs[id_col] == F.col("__q_id"), "left_anti")
-    repeated = found.groupBy("__q_id").count().where("count > 1 AND __q_id IS NOT NULL").limit(1).count()
-    return out.dropDuplicates([id_col]) if repeated else out
+def ranked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, least, most, rank): per distinct text its digest, its least id, the rows of its most repeated id, and its
+    place in the order of least ids (null: last) and digests, with gaps."""
+    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("key"))
+    texts = own.groupBy("key", "id").agg(F.count("*").alias("n")).groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("most"))
+    return texts.orderBy(F.col("least").asc_nulls_last(), "key").select("*", F.monotonically_increasing_id().alias("rank"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row of docs for each class of texts that chains of links join: a row with the least id (null: last; then the
+    least digest). Unlike in join(), texts that share an id are apart unless they are linked. Rows without a text stay."""
+    ranks = materialize(ranked(docs, id_col, text_col), "ranks")
+    reps = classes(docs, id_col, text_col, width).drop("rep").join(ranks.select("key", F.col("rank").alias("rep")), "key")
+    found = of_texts(docs, materialize(reps, "classes"), text_col, width, threshold, tolerance)
+    wins = (F.col("class_id") == F.col("copy_id")).alias("__q_wins")
+    found = found.where("class_id <> copy_id OR n_copies > 1").join(ranks.select("key", "least", "most"), F.col("r_key") == F.col("key"))
+    found = materialize(found.select(F.col("key").alias("__q_key"), F.col("least").alias("__q_least"), F.col("most").alias("__q_most"), wins), "fates")
+    few = lambda df: F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+    key = F.unhex(F.md5(docs[text_col].cast("string")))
+    stays = F.col("__q_wins") & docs[id_col].cast("long").eqNullSafe(F.col("__q_least"))
+    out = docs.join(few(found), (key == F.col("__q_key")) & ~stays, "left_anti")
+    repeated = found.where("__q_wins AND __q_most > 1").select("__q_key")
+    if not repeated.limit(1).count():
+        return out
+    repeated, key = few(repeated), F.unhex(F.md5(out[text_col].cast("string")))
+    first = out.join(repeated, key == F.col("__q_key"), "left_semi").withColumn("__q_key", key).dropDuplicates(["__q_key"]).drop("__q_key")
+    return out.join(repeated, key == F.col("__q_key"), "left_anti").union(first)
 
 
 ORACLE_SQL = rf"""

@@ -86,6 +86,33 @@ def test_keep_one(spark):
     assert ngram_join.keep_one(twice).count() == 1
 
 
+def test_keep_one_by_rows_not_ids(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [
+        (7, a), (7, b), (9, b),  # an id with two texts, one of them copied
+        (5, c), (5, c), (None, c), (None, c + " end"),  # a repeated row, with an exact and a near copy without id
+        (None, d), (None, d), (None, d + " end"), (None, e), (None, f),  # ids are all null
+        (8, None), (8, None), (None, None),
+        (3, f"{text()} {a}"),
+    ]
+    df = cases.docs(spark, [(i, t, "en", "a", 1) for i, t in rows]).repartition(3)
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    of_d = {(None, d), (None, d + " end")} & set(got)
+    assert len(of_d) == 1
+    assert got == sorted([(7, a), (7, b), (5, c), *of_d, (None, e), (None, f), (8, None), (8, None), (None, None), rows[-1]], key=str)
+
+
+def test_keep_one_with_ids_in_any_order(spark):
+    rows = near_copies(60, 2)
+    rows = [(10**9 - i if i % 3 else -i, *r) for i, *r in rows] + [(-5000, *rows[0][1:])]
+    df = cases.docs(spark, rows).repartition(7)
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(df).collect()) == sorted({x[1] for x in brute(rows)})
+
+
 def test_pruning_keeps_true_pairs():
     rng = np.random.default_rng(0)
     least = [ngram_join.least_matches(n, 0.8, 1e-5) for n in range(32, 161, 32)]
