@@ -3,8 +3,9 @@
 A text's pieces form a lattice. Forward Viterbi gives the best score from the start to every position; it is the exact
 heuristic of an A-star search that grows hypotheses backward from the end, so complete ones leave the queue in the order
 of their scores. No piece crosses the start of a word or a line end, so the lattice of a text is a chain of those of its
-units: units are searched once and remembered, and the N best of the chain deviate from the best only in the N - 1
-units whose second-best segmentation costs least. Sums are exact, as scores are whole millionths.
+units: every unit's two best are searched once and remembered, and the N best of the chain deviate from the best only
+in the N - 1 units whose second-best segmentation costs least; of these the N best are searched. Sums are exact, as
+scores are whole millionths. All N segmentations of a text are composed, digested and decoded.
 
 A unigram vocabulary's scores are its pieces' log frequencies. A BPE vocabulary holds ranks instead; its pieces get the
 log of 1 / (rank + 1), as Zipf's law has it. A character that no piece holds becomes its UTF-8 bytes' pieces, or the
@@ -17,9 +18,12 @@ counts as a space and decodes to one. Columns in keep that clash with result col
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import heapq
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +38,7 @@ from .encoders import slices
 
 N_BEST = 4
 MAX_UNITS = 500_000
-MADE = ["n_pieces", "score", "ids_crc32", "nbest_scores", "round_trip", "nbest"]
+MADE = ["n_pieces", "score", "ids_crc32", "nbest_scores", "round_trip", "nbest_pieces", "nbest_crc32", "nbest_round_trip", "nbest"]
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 SCALE = 1_000_000
@@ -114,22 +118,68 @@ class Lattice:
 
     def search(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, ids), best first."""
-        edges = self.edges(text)
-        ahead = [0] + [-(1 << 62)] * len(text)
-        for end in range(1, len(text) + 1):
-            ahead[end] = max(ahead[start] + score for start, _, score in edges[end])
-        queue = [(-ahead[-1], (), len(text), 0)]
+        size = len(text)
+        edges: list[list[tuple[int, tuple[int, ...], int]]] = [[] for _ in range(size + 1)]
+        ahead = [0] + [-(1 << 62)] * size
+        at_end, lone = 1, True
+        for at, (length, ids, score) in self.found.iter(text):
+            end = at + 1
+            while at_end < end:
+                if lone:
+                    self._spell(text, at_end, edges, ahead)
+                at_end, lone = at_end + 1, True
+            if length == 1:
+                lone = False
+            start = end - length
+            edges[end].append((start, ids, score))
+            if ahead[start] + score > ahead[end]:
+                ahead[end] = ahead[start] + score
+        while at_end <= size:
+            if lone:
+                self._spell(text, at_end, edges, ahead)
+            at_end, lone = at_end + 1, True
+        # Hypotheses in the queue have no completion in common and each one has its score, so n are enough.
+        queue = [(-ahead[size], (), size, 0)]
         out = []
-        while queue and len(out) < n:
-            _, back, at, behind = heapq.heappop(queue)
+        while queue:
+            _, back, at, behind = queue.pop(0)
             if not at:
                 out.append((behind, back[::-1]))
                 continue
             for start, ids, score in edges[at]:
                 total = behind + score
-                heapq.heappush(queue, (-(total + ahead[start]), back + ids[::-1], start, total))
+                queue.append((-total - ahead[start], back + (ids if len(ids) == 1 else ids[::-1]), start, total))
+            if len(queue) > 1:
+                queue.sort()
+                del queue[n - len(out) :]
         return out
 
+    def _spell(self, text: str, end: int, edges: list, ahead: list[int]) -> None:
+        """The edge over the character that ends here and is no piece."""
+        ((start, ids, score),) = self.spelled(text, end)
+        edges[end].append((start, ids, score))
+        ahead[end] = max(ahead[end], ahead[start] + score)
+
+
+def pack(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def shown(spelled: bytes) -> str:
+    return spelled.decode("utf-8", "replace").removeprefix(" ")
+
+
+@contextlib.contextmanager
+def no_collection() -> Iterator[None]:
+    """Searches make many tuples and no cycles: looking for these would take a quarter of the time."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
 
 class _Slots(dict):
     def __missing__(self, unit: str) -> int:
@@ -168,6 +218,8 @@ class Segmenter:
         self.slot.new = []
         self.units: list[str] = []
         self.ids: list[tuple[int, ...]] = []
+        self.packed: list[bytes] = []
+        self.surfaces: list[bytes] = []
         self.best = np.empty(1024, np.int64)
         self.loss = np.empty(1024, np.int64)
         self.deep: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
@@ -178,14 +230,16 @@ class Segmenter:
             self.best, self.loss = (np.concatenate([x, np.empty_like(x)]) for x in (self.best, self.loss))
         for u in new:
             k = len(self.units)
-            self.best[k], ids, self.loss[k] = self.lattice.best(u)
+            (self.best[k], ids), *other = self.lattice.search(u, 2)
+            self.loss[k] = self.best[k] - other[0][0] if other else 1 << 62
             self.units.append(u)
             self.ids.append(ids)
+            self.packed.append(pack(ids))
+            self.surfaces.append(b"".join([self.surface[i] for i in ids]))
 
-    def encode(self, text: str, n: int = N_BEST, spelled: int | None = None) -> list[tuple[int, list[int]]]:
-        """The n best (score in millionths, ids) of a text; ids only of the first spelled ones, if that is given."""
-        if not text:
-            return [(0, [])]
+    def chain(self, text: str, n: int) -> tuple[list[int], list[tuple[int, dict[int, tuple[int, ...]]]]]:
+        """The units of a text that isn't empty, and its n best: score in millionths, and the ids of those units that
+        don't have their best ones."""
         if len(self.slot) > MAX_UNITS:
             self._clear()
         units = _UNIT.findall(SPACE + text.replace(" ", SPACE))
@@ -205,14 +259,28 @@ class Segmenter:
                 continue
             choices = self._deep(int(at[i]), n)
             merged = heapq.nsmallest(n, ((cost + choices[0][0] - s, picks + ((i, j),)) for cost, picks in merged for j, (s, _) in enumerate(choices)))
+        return at.tolist(), [(total - cost, {i: self._deep(int(at[i]), n)[j][1] for i, j in picks if j}) for cost, picks in merged]
+
+    def encode(self, text: str, n: int = N_BEST) -> list[tuple[int, list[int]]]:
+        """The n best (score in millionths, ids) of a text."""
+        if not text:
+            return [(0, [])]
+        at, found = self.chain(text, n)
+        return [(score, [x for i, k in enumerate(at) for x in (other.get(i) or self.ids[k])]) for score, other in found]
+
+    def packed_encode(self, text: str, n: int = N_BEST) -> list[tuple[int, bytes, bytes]]:
+        """As encode(), but ids as little-endian 32-bit numbers, with the bytes that they stand for."""
+        if not text:
+            return [(0, b"", b"")]
+        at, found = self.chain(text, n)
+        ids, spelled = [self.packed[k] for k in at], [self.surfaces[k] for k in at]
         out = []
-        for cost, picks in merged:
-            if spelled is not None and len(out) >= spelled:
-                out.append((total - cost, []))
-                continue
-            other = {i: self._deep(int(at[i]), n)[j][1] for i, j in picks if j}
-            ids = [x for i, k in enumerate(at.tolist()) for x in (other.get(i) or self.ids[k])] if other else [x for k in at.tolist() for x in self.ids[k]]
-            out.append((total - cost, ids))
+        for score, other in found:
+            for i, x in other.items():
+                ids[i], spelled[i] = pack(x), b"".join([self.surface[k] for k in x])
+            out.append((score, b"".join(ids), b"".join(spelled)))
+            for i in other:
+                ids[i], spelled[i] = self.packed[at[i]], self.surfaces[at[i]]
         return out
 
     def _deep(self, k: int, n: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -221,8 +289,7 @@ class Segmenter:
         return self.deep[k]
 
     def decode(self, ids: Iterable[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text.removeprefix(" ")
+        return shown(b"".join(map(self.surface.__getitem__, ids)))
 
 
 _loaded: dict[str, Segmenter] = {}
@@ -236,8 +303,8 @@ def load(path: str) -> Segmenter:
 
 def segment(docs: DataFrame, model: str, n: int = N_BEST, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """A row for each of docs: the columns in keep, the best segmentation's ``n_pieces``, ``score`` and ``ids_crc32``
-    (of its ids as little-endian 32-bit numbers), ``nbest_scores``, ``round_trip`` (it decodes to the text) and, if
-    asked for, ``nbest``: the ids of each segmentation."""
+    (of its ids as little-endian 32-bit numbers) and ``round_trip`` (it decodes to the text); of each segmentation the
+    ``nbest_scores``, ``nbest_pieces``, ``nbest_crc32``, ``nbest_round_trip`` and, if asked for, ``nbest``: its ids."""
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in MADE]
     made = MADE if with_ids else MADE[:-1]
 
@@ -247,18 +314,22 @@ def segment(docs: DataFrame, model: str, n: int = N_BEST, text_col: str = "text"
             texts = b.column(b.num_columns - 1).to_pylist()
             for lo, hi in slices(texts):
                 cols: list[list] = [[] for _ in made]
-                for t in texts[lo:hi]:
-                    found = coder.encode(t, n, None if with_ids else 1)
-                    ids = found[0][1]
-                    row = (len(ids), found[0][0] / SCALE, zlib.crc32(np.array(ids, "<u4").tobytes()), [s / SCALE for s, _ in found], coder.decode(ids) == t.replace(SPACE, " "), [x for _, x in found])
+                with no_collection():
+                    found_all = [coder.packed_encode(t, n) for t in texts[lo:hi]]
+                for t, found in zip(texts[lo:hi], found_all, strict=True):
+                    same = t.replace(SPACE, " ")
+                    pieces, crcs = [len(x) // 4 for _, x, _ in found], [zlib.crc32(x) for _, x, _ in found]
+                    trips = [shown(x) == same for _, _, x in found]
+                    ids = [np.frombuffer(x, "<i4") for _, x, _ in found] if with_ids else None
+                    row = (pieces[0], found[0][0] / SCALE, crcs[0], [s / SCALE for s, _, _ in found], trips[0], pieces, crcs, trips, ids)
                     for c, v in zip(cols, row, strict=False):
                         c.append(v)
-                kinds = [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
+                kinds = [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in b.columns[:-1]] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], [*b.schema.names[:-1], *made])
 
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias("__q_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    types = ["n_pieces long", "score double", "ids_crc32 long", "nbest_scores array<double>", "round_trip boolean", "nbest array<array<int>>"][: len(made)]
+    types = ["n_pieces long", "score double", "ids_crc32 long", "nbest_scores array<double>", "round_trip boolean", "nbest_pieces array<long>", "nbest_crc32 array<long>", "nbest_round_trip array<boolean>", "nbest array<array<int>>"][: len(made)]
     return source.mapInArrow(run, ", ".join([*fields, *types]))
 
 

@@ -1,3 +1,6 @@
+import zlib
+
+import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -21,3 +24,14 @@ def test_documents(spark):
     back = nbest.decode(nbest.segment(df, PATH, keep=["doc_id"]).selectExpr("doc_id", "nbest[0] AS ids"), PATH, "ids").collect()
     assert sorted((r["text"] for r in back)) == sorted((r[1] or "") for r in cases.ROWS)
     assert nbest.segment(cases.empty(spark), PATH).count() == 0
+
+
+def test_query_gives_every_segmentation(spark):
+    got = {r["doc_id"]: r for r in nbest.query(spark, cases.SF).collect()}
+    coder = nbest.load(PATH)
+    for doc_id, text in spark.read.parquet(f"{cases.SF}/documents.parquet").select("doc_id", "text").collect()[:40]:
+        want, r = coder.encode(text or "", 4), got[doc_id]
+        assert len(want) == len(r["nbest_pieces"]) == 4 and len({tuple(x) for _, x in want}) == 4
+        assert r["nbest_pieces"] == [len(x) for _, x in want] and all(r["nbest_round_trip"])
+        assert r["nbest_crc32"] == [zlib.crc32(np.array(x, "<u4").tobytes()) for _, x in want]
+        assert all(coder.decode(x) == text for _, x in want)
