@@ -279,8 +279,7 @@ SPECS = {
 #: Candidates that a built-in family's search goes through by default; the codes found are the family's first ones.
 CANDIDATES = 1 << 13
 
-# Codes of the classic families with their bits in reading order, by id. Of the third family these are
-# the first 150; more come from a code file (with_codes).
+# All codes of the classic families with their bits in reading order, by id.
 CLASSIC = {
     "tag16h5": """
         0x231b 0x2ea5 0x346a 0x45b9 0x79a6 0x7f6b 0xb358 0xe745 0xfe59 0x156d
@@ -309,6 +308,50 @@ CLASSIC = {
         0x185409cad 0x77ae2c68d 0x94f5af4b5 0x0a13bad55 0x61ea437cd 0xa022399e2 0x203b163d1 0x7bba8f40e 0x95bc9442d 0x41c0b5358
         0x8e9c6cc81 0x0eb549670 0x9da3a0b51 0xd832a67a1 0xdcd4350bc 0x4aa05fdd2 0x60c7bb44e 0x4b358b96c 0x067299b45 0xb9c89b5fa
         0x6975acaea 0x62b8f7afa 0x33567c3d7 0xbac139950 0xa5927c62a 0x5c916e6a4 0x260ecb7d5 0x29b7bbd9a 0x903205f26 0xae72270a4
+        0x3d2ec51a7 0x82ea55324 0x11a6f3427 0x1ca1c4576 0xa40c81aef 0xbddccd730 0x0e617561e 0x969317b0f 0x67f781364 0x610912f96
+        0xb2549fdfc 0x06e5aaa6b 0xb6c475339 0xc56836a4d 0x844e351eb 0x4647f83b4 0x0908a04f5 0x7f51034c9 0xaee537fca 0x5e92494ba
+        0xd445808f4 0x28d68b563 0x04d25374b 0x2bc065f65 0x96dc3ea0c 0x4b2ade817 0x07c3fd502 0xe768b5caf 0x17605cf6c 0x182741ee4
+        0x62846097c 0x72b5ebf80 0x263da6e13 0xfa841bcb5 0x7e45e8c69 0x653c81fa0 0x7443b5e70 0x0a5234afd 0x74756f24e 0x157ebf02a
+        0x82ef46939 0x80d420264 0x2aeed3e98 0xb0a1dd4f8 0xb5436be13 0x7b7b4b13b 0x1ce80d6d3 0x16c08427d 0xee54462dd 0x1f7644cce
+        0x9c7b5cc92 0xe369138f8 0x5d5a66e91 0x485d62f49 0xe6e819e94 0xb1f340eb5 0x09d198ce2 0xd60717437 0x0196b856c 0xf0a6173a5
+        0x12c0e1ec6 0x62b82d5cf 0xad154c067 0xce3778832 0x6b0a7b864 0x4c7686694 0x5058ff3ec 0xd5e21ea23 0x9ff4a76ee 0x9dd981019
+        0x1bad4d30a 0xc601896d1 0x973439b48 0x1ce7431a8 0x57a8021d6 0xf9dba96e6 0x83a2e4e7c 0x8ea585380 0xaf6c0e744 0x875b73bab
+        0xda34ca901 0x2ab9727ef 0xd39f21b9a 0x8a10b742f 0x5f8952dba 0xf8da71ab0 0xc25f9df96 0x06f8a5d94 0xe42e63e1a 0xb78409d1b
+        0x792229add 0x5acf8c455 0x2fc29a9b0 0xea486237b 0xb0c9685a0 0x1ad748a47 0x03b4712d5 0xf29216d30 0x8dad65e49 0x0a2cf09dd
+        0x0b5f174c6 0xe54f57743 0xb9cf54d78 0x4a312a88a 0x27babc962 0xb86897111 0xf2ff6c116 0x82274bd8a 0x97023505e 0x52d46edd1
+        0x585c1f538 0xbddd00e43 0x5590b74df 0x729404a1f 0x65320855e 0xd3d4b6956 0x7ae374f14 0x2d7a60e06 0x315cd9b5e 0xfd36b4eac
+        0xf1df7642b 0x55db27726 0x8f15ebc19 0x992f8c531 0x62dea2a40 0x928275cab 0x69c263cb9 0xa774cca9e 0x266b2110e 0x1b14acbb8
+        0x624b8a71b 0x1c539406b 0x3086d529b 0x0111dd66e 0x98cd630bf 0x8b9d1ffdc 0x72b2f61e7 0x9ed9d672b 0x96cdd15f3 0x6366c2504
+        0x6ca9df73a 0xa066d60f0 0xe7a4b8add 0x8264647ef 0xaa195bf81 0x9a3db8244 0x014d2df6a 0x0b63265b7 0x2f010de73 0x97e774986
+        0x248affc29 0xfb57dcd11 0x0b1a7e4d9 0x4bfa2d07d 0x54e5cdf96 0x4c15c1c86 0xcd9c61166 0x499380b2a 0x540308d09 0x8b63fe66f
+        0xc81aeb35e 0x86fe0bd5c 0xce2480c2a 0x1ab29ee60 0x8048daa15 0xdbfeb2d39 0x567c9858c 0x2b6edc5bc 0x2078fca82 0xadacc22aa
+        0xb92486f49 0x51fac5964 0x691ee6420 0xf63b3e129 0x39be7e572 0xda2ce6c74 0x20cf17a5c 0xee55f9b6e 0xfb8572726 0xb2c2de548
+        0xcaa9bce92 0xae9182db3 0x74b6e5bd1 0x137b252af 0x51f686881 0xd672f6c02 0x654146ce4 0xf944bc825 0xe8327f809 0x76a73fd59
+        0xf79da4cb4 0x956f8099b 0x7b5f2655c 0xd06b114a6 0xd0697ca50 0x27c390797 0xbc61ed9b2 0xcc12dd19b 0xeb7818d2c 0x092fcecda
+        0x89ded4ea1 0x256a0ba34 0xb6948e627 0x1ef6b1054 0x8639294a2 0xeda3780a4 0x39ee2af1d 0xcd257edc5 0x2d9d6bc22 0x121d3b47d
+        0x37e23f8ad 0x119f31cf6 0x2c97f4f09 0xd502abfe0 0x10bc3ca77 0x53d7190ef 0x90c3e62a6 0x7e9ebf675 0x979ce23d1 0x27f0c98e9
+        0xeafb4ae59 0x7ca7fe2bd 0x1490ca8f6 0x9123387ba 0xb3bc73888 0x3ea87e325 0x4888964aa 0xa0188a6b9 0xcd383c666 0x40029a3fd
+        0xe1c00ac5c 0x39e6f2b6e 0xde664f622 0xe979a75e8 0x7c6b4c86c 0xfd492e071 0x8fbb35118 0x40b4a09b7 0xaf80bd6da 0x70e0b2521
+        0x2f5c54d93 0x3f4a118d5 0x09c1897b9 0x079776eac 0x084b00b17 0x3a95ad90e 0x28c544095 0x39d457c05 0x7a3791a78 0xbb770e22e
+        0x9a822bd6c 0x68a4b1fed 0xa5fd27b3b 0x0c3995b79 0xd1519dff1 0x8e7eee359 0xcd3ca50b1 0xb73b8b793 0x57aca1c43 0xec2655277
+        0x785a2c1b3 0x75a07985a 0xa4b01eb69 0xa18a11347 0xdb1f28ca3 0x877ec3e25 0x31f6341b8 0x1363a3a4c 0x075d8b9ba 0x7ae0792a9
+        0xa83a21651 0x7f08f9fb5 0x0d0cf73a9 0xb04dcc98e 0xf65c7b0f8 0x65ddaf69a 0x2cf9b86b3 0x14cb51e25 0xf48027b5b 0x0ec26ea8b
+        0x44bafd45c 0xb12c7c0c4 0x959fd9d82 0xc77c9725a 0x48a22d462 0x8398e8072 0xec89b05ce 0xbb682d4c9 0xe5a86d2ff 0x358f01134
+        0x8556ddcf6 0x67584b6e2 0x11609439f 0x08488816e 0xaaf1a2c46 0xf879898cf 0x8bbe5e2f7 0x101eee363 0x690f69377 0xf5bd93cd9
+        0xcea4c2bf6 0x9550be706 0x2c5b38a60 0xe72033547 0x4458b0629 0xee8d9ed41 0xd2f918d72 0x78dc39fd3 0x8212636f6 0x7450a72a7
+        0xc4f0cf4c6 0x367bcddcd 0xc1caf8cc6 0xa7f5b853d 0x9d536818b 0x535e021b0 0xa7eb8729e 0x422a67b49 0x929e928a6 0x48e8aefcc
+        0xa9897393c 0x5eb81d37e 0x1e80287b7 0x34770d903 0x2eef86728 0x59266ccb6 0x0110bba61 0x1dfd284ef 0x447439d1b 0xfece0e599
+        0x9309f3703 0x80764d1dd 0x353f1e6a0 0x2c1c12dcc 0xc1d21b9d7 0x457ee453e 0xd66faf540 0x44831e652 0xcfd49a848 0x9312d4133
+        0x3f097d3ee 0x8c9ebef7a 0xa99e29e88 0x0e9fab22c 0x4e748f4fb 0xecdee4288 0xabce5f1d0 0xc42f6876c 0x7ed402ea0 0xe5c4242c3
+        0xd5b2c31ae 0x286863be6 0x160444d94 0x5f0f5808e 0xae3d44b2a 0x9f5c5d109 0x8ad9316d7 0x3422ba064 0x2fed11d56 0xbea6e3e04
+        0x04b029eec 0x6deed7435 0x3718ce17c 0x55857f5e2 0x2edac7b62 0x085d6c512 0xd6ca88e0f 0x2b7e1fc69 0xa699d5c1b 0xf05ad74de
+        0x4cf5fb56d 0x5725e07e1 0x72f18a2de 0x1cec52609 0x48534243c 0x2523a4d69 0x35c1b80d1 0xa4d7338a7 0x0db1af012 0xe61a9475d
+        0x05df03f91 0x97ae260bb 0x32d627fef 0xb640f73c2 0x45a1ac9c6 0x6a2202de1 0x57d3e25f2 0x5aa9f986e 0x0cc859d8a 0xe3ec6cca8
+        0x54e95e1ae 0x446887b06 0x7516732be 0x3817ac8f5 0x3e26d938c 0xaa81bc235 0xdf387ca1b 0x0f3a3b3f2 0xb4bf69677 0xae21868ed
+        0x81e1d2d9d 0xa0a9ea14c 0x8eee297a9 0x4740c0559 0xe8b141837 0xac69e0a3d 0x9ed83a1e1 0x5edb55ecb 0x07340fe81 0x50dfbc6bf
+        0x4f583508a 0xcb1fb78bc 0x4025ced2f 0x39791ebec 0x53ee388f1 0x7d6c0bd23 0x93a995fbe 0x8a41728de 0x2fe70e053 0xab3db443a
+        0x1364edb05 0x47b6eeed6 0x12e71af01 0x52ff83587 0x3a1575dd8 0x3feaa3564 0xeacf78ba7 0x0872b94f8 0xda8ddf9a2 0x9aa920d2b
+        0x1f350ed36 0x18a5e861f 0x2c35b89c3 0x3347ac48a 0x7f23e022e 0x2459068fb 0xe83be4b73
     """,
 }
 
@@ -328,6 +371,11 @@ def family(name: str, max_candidates: int | None = CANDIDATES) -> Family:
     return Family(name, layout, min_hamming, complexity, codes)
 
 
+def as_family(which: str | Family, max_candidates: int | None = CANDIDATES) -> Family:
+    """A family by name, or which itself where it is one."""
+    return which if isinstance(which, Family) else family(which, max_candidates)
+
+
 def with_codes(name: str, raw: bytes) -> Family:
     """A built-in family with all its codes from a code file."""
     f = family(name)

@@ -6,13 +6,15 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ..families import family
+from ..families import CANDIDATES, Family, as_family
 from . import decoding, pixels, quads, regions
 
 
 @dataclass(frozen=True)
 class Config:
-    families: tuple[str, ...] = ("tag36h11",)
+    """families: names or, with codes that no name gives, Family objects; max_candidates is for families by name."""
+
+    families: tuple[str | Family, ...] = ("tag36h11",)
     quad_decimate: float = 2.0
     quad_sigma: float = 0.0
     refine_edges: bool = True
@@ -24,12 +26,13 @@ class Config:
     max_line_fit_mse: float = 10.0
     min_white_black_diff: int = 5
     deglitch: bool = False
+    max_candidates: int | None = CANDIDATES
 
 
 class Detector:
     def __init__(self, config: Config = Config()):
         self.config = config
-        self.readers = [decoding.Reader(family(name), config.max_hamming) for name in config.families]
+        self.readers = [decoding.Reader(as_family(f, config.max_candidates), config.max_hamming) for f in config.families]
         self.borders = {r.family.layout.reversed_border for r in self.readers}
 
     def quads(self, img: np.ndarray) -> list[tuple[np.ndarray, bool]]:

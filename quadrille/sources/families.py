@@ -1,32 +1,37 @@
-"""Family dimension tables. They are small and of fixed size, and may be broadcast."""
+"""Family dimension tables. They are small and of fixed size, and may be broadcast. Families are given by name or, with codes
+that no name gives, as Family objects."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..families import SPECS, Family, family
+from ..families import CANDIDATES, SPECS, Family, as_family
 from ..schemas import FAMILY
 
 
-def _all(names: list[str] | None) -> list[Family]:
-    return [family(n) for n in (names or list(SPECS))]
+def _all(names: list[str | Family] | None, max_candidates: int | None = CANDIDATES) -> list[Family]:
+    return [as_family(n, max_candidates) for n in (names or list(SPECS))]
 
 
-def families(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
-    rows = [(f.name, f.min_hamming, f.min_complexity, SPECS[f.name][0], f.layout.size, f.layout.nbits, f.layout.border_start, f.layout.border_width, f.layout.reversed_border) for f in _all(names)]
+def _kind(f: Family) -> str:
+    return SPECS[f.name][0] if f.name in SPECS else "custom"
+
+
+def families(spark: SparkSession, names: list[str | Family] | None = None) -> DataFrame:
+    rows = [(f.name, f.min_hamming, f.min_complexity, _kind(f), f.layout.size, f.layout.nbits, f.layout.border_start, f.layout.border_width, f.layout.reversed_border) for f in _all(names)]
     return spark.createDataFrame(rows, FAMILY)
 
 
-def codes(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
-    rows = [(f.name, i, int(c)) for f in _all(names) for i, c in enumerate(f.codes)]
+def codes(spark: SparkSession, names: list[str | Family] | None = None, max_candidates: int | None = CANDIDATES) -> DataFrame:
+    rows = [(f.name, i, int(c)) for f in _all(names, max_candidates) for i, c in enumerate(f.codes)]
     return spark.createDataFrame(rows, "family string, id int, code long")
 
 
-def bits(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+def bits(spark: SparkSession, names: list[str | Family] | None = None) -> DataFrame:
     rows = [(f.name, i, x, y) for f in _all(names) for i, (x, y) in enumerate(f.layout.bits())]
     return spark.createDataFrame(rows, "family string, bit int, x int, y int")
 
 
-def cells(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+def cells(spark: SparkSession, names: list[str | Family] | None = None) -> DataFrame:
     rows = [(f.name, i % f.layout.size, i // f.layout.size, c) for f in _all(names) for i, c in enumerate(f.layout.cells)]
     return spark.createDataFrame(rows, "family string, x int, y int, cell string")

@@ -85,3 +85,14 @@ def test_ids():
     assert files.parse_ids("0-4,7, 10-12") == [0, 1, 2, 3, 4, 7, 10, 11, 12]
     with pytest.raises(ValueError):
         files.parse_ids("4-1")
+
+
+def test_all_codes_of_the_default_family():
+    codes = fm.family("tag36h11").codes
+    assert len(codes) == len(set(codes.tolist())) == 587
+    turns = [codes]
+    for _ in range(3):
+        turns.append(fm.rotate90(turns[-1], 36))
+    far = np.stack([fm.hamming(codes[:, None], t[None, :]) for t in turns])
+    far[0][np.diag_indices(587)] = 99
+    assert far.min() >= 11

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quadrille import catalog
-from quadrille.families import family
+from quadrille.families import family, with_codes
 from quadrille.kernel import scenes as kernel
 from quadrille.kernel.detecting import Config, Detector
 from quadrille.operators import evaluate
@@ -122,3 +122,22 @@ def test_buffers(spark):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_ids_beyond_the_defaults(spark):
+    some = [catalog.scenario("baseline", f"id-{i}", [catalog.tag(150, 150, 50, i)], 2) for i in (150, 586)]
+    found = detect(scenes.images(scenes.scenario_table(spark, some))).collect()
+    assert sorted((r["image_id"], r["id"]) for r in found) == [("id-150", 150), ("id-586", 586)]
+    short, name = family("tagStandard41h12"), "tagStandard41h12"
+    whole = with_codes(name, files.code_file(family(name, 1 << 15)))
+    assert len(whole.codes) > len(short.codes) + 50
+    last = len(whole.codes) - 1
+    cells = np.where(whole.render(last) < 0, 255, whole.render(last)).astype(np.uint8)
+    img = np.pad(np.kron(cells, np.ones((20, 20), np.uint8)), 60, constant_values=128)
+    assert not any(d["id"] == last for d in Detector(Config(families=(name,))).detect(img))
+    for config in (Config(families=(whole,)), Config(families=(name,), max_candidates=1 << 15)):
+        assert [d["id"] for d in Detector(config).detect(img)] == [last]
+    df = spark.createDataFrame([("x", img.shape[1], img.shape[0], img.shape[1], bytearray(img.tobytes()))], "image_id string, width int, height int, stride int, data binary")
+    assert [r["id"] for r in detect(df, Config(families=(whole,))).collect()] == [last]
+    assert families.codes(spark, [whole]).count() == families.codes(spark, [name], 1 << 15).count() == last + 1
+    assert families.families(spark, [whole]).first()["layout"] == "standard"
