@@ -164,7 +164,7 @@ TEMPLATES: dict[str, Callable] = {
     "smooth_errors": lambda d: with_(peaks(d)) + "SELECT c, i, round(CAST(0.1665 * pe + 0.667 * e + 0.1665 * ne AS DOUBLE), 6) AS e FROM nb",
     "local_maxima": lambda d: with_(peaks(d)) + "SELECT c, i, e FROM mx",
     "topk_maxima": lambda d: with_(top(d, 10)) + "SELECT c, i, e FROM tk",
-    "combo4": lambda d: with_(top(d, 6), "cb AS (SELECT a.c, a.i AS i0, b.i AS i1, g.i AS i2, h.i AS i3, abs(a.e - b.e) + abs(b.e - g.e) + abs(g.e - h.e) + abs(h.e - a.e) AS err FROM tk a JOIN tk b ON a.c = b.c AND a.i < b.i JOIN tk g ON b.c = g.c AND b.i < g.i JOIN tk h ON g.c = h.c AND g.i < h.i)")
+    "combo4": lambda d: with_(top(d, 10), "cb AS (SELECT a.c, a.i AS i0, b.i AS i1, g.i AS i2, h.i AS i3, abs(a.e - b.e) + abs(b.e - g.e) + abs(g.e - h.e) + abs(h.e - a.e) AS err FROM tk a JOIN tk b ON a.c = b.c AND a.i < b.i JOIN tk g ON b.c = g.c AND b.i < g.i JOIN tk h ON g.c = h.c AND g.i < h.i)")
     + "SELECT c, i0, i1, i2, i3, err FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY err, i0, i1, i2, i3) AS r FROM cb) s WHERE r = 1",
     "homography_project": lambda d: with_(quad(d), "sd AS (SELECT *, x1 - x2 AS dx1, x3 - x2 AS dx2, x0 - x1 + x2 - x3 AS sx, y1 - y2 AS dy1, y3 - y2 AS dy2, y0 - y1 + y2 - y3 AS sy FROM q)",
         "gh AS (SELECT *, (sx * dy2 - sy * dx2) / (dx1 * dy2 - dy1 * dx2) AS g, (dx1 * sy - dy1 * sx) / (dx1 * dy2 - dy1 * dx2) AS h FROM sd)",

@@ -1,6 +1,7 @@
 """The Spark operators: detection, evaluation, sources, sinks, streams, and the contract."""
 
 import json
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -141,3 +142,18 @@ def test_ids_beyond_the_defaults(spark):
     assert [r["id"] for r in detect(df, Config(families=(whole,))).collect()] == [last]
     assert families.codes(spark, [whole]).count() == families.codes(spark, [name], 1 << 15).count() == last + 1
     assert families.families(spark, [whole]).first()["layout"] == "standard"
+
+
+def test_combo4_searches_ten_maxima(spark):
+    """By hand from topk_maxima, whose ten are the reference's."""
+    top = {}
+    for r in registry.QUERIES["topk_maxima"](spark, SF).collect():
+        top.setdefault(r["c"], []).append((r["i"], r["e"]))
+    assert max(map(len, top.values())) == 10
+    want = {}
+    for c, peaks in top.items():
+        found = [(sum(abs(q[k][1] - q[k - 1][1]) for k in range(4)), *(i for i, _ in q)) for q in combinations(sorted(peaks), 4)]
+        if found:
+            want[c] = min(found)
+    got = {r["c"]: (r["err"], r["i0"], r["i1"], r["i2"], r["i3"]) for r in registry.QUERIES["combo4"](spark, SF).collect()}
+    assert got == want
