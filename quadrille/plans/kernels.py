@@ -11,29 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..families import family, generate, make_layout
+from ..families import SPECS, family, generate, make_layout
 from ..kernel import pixels, regions
 from ..kernel.detecting import Config
 from ..kernel.scenes import uniform
 from ..operators import evaluate
-from ..operators.detect import detect, estimate_pose
+from ..operators.detect import detect, estimate_pose, with_batches
 from ..sources import scenes
 
-ALL = ("tag36h11", "tagStandard52h13", "tag16h5", "tag25h9")
-
 
 def _scenes(spark: SparkSession) -> DataFrame:
     return scenes.scenario_table(spark).repartition(spark.sparkContext.defaultParallelism)
 
 
-def detect_scenes(spark: SparkSession, some: list[dict]) -> DataFrame:
-    """Detections of scenes, each with the families and the decimation that it is for."""
+def detect_scenes(spark: SparkSession, some: list[dict], parts: int | None = None) -> DataFrame:
+    """Detections of scenes, each with the families and the decimation that it is for; parts: the most partitions of
+    those that are read alike, the default parallelism if not given."""
     by: dict[tuple, list[dict]] = {}
     for s in some:
         by.setdefault((tuple(dict.fromkeys(t["family"] for t in s["tags"])), s["quad_decimate"] or 2.0), []).append(s)
     out = None
     for (names, decimate), group in by.items():
-        table = scenes.scenario_table(spark, group).repartition(min(len(group), spark.sparkContext.defaultParallelism))
+        table = scenes.scenario_table(spark, group).repartition(min(len(group), parts or spark.sparkContext.defaultParallelism))
         found = detect(scenes.images(table), Config(families=names, quad_decimate=decimate))
         out = found if out is None else out.unionByName(found)
     return out
@@ -61,13 +60,23 @@ def sweep_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.scene_results(scenes.truth(table), detect_scenes(spark, some))
 
 
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole sweep. Its largest images have 24 million pixels, so a task has about one scene, a batch one image."""
+    session = spark.newSession()  # its own batches
+    # Two sizes have 25 markers: the size makes names, by which images are joined, differ.
+    some = [s | {"name": f"{s['name']}-{s['width']}x{s['height']}"} for s in catalog.sweep(True)]
+    table = with_batches(scenes.scenario_table(session, some), 1)
+    return evaluate.scene_results(scenes.truth(table), detect_scenes(session, some, len(some)))
+
+
 def gen_codes_21h7(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = generate(make_layout("circle", 9), 7, 10)
     return spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "id int, code long")
 
 
 def render_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(f.name, i, f.rgba(i)) for f in map(family, ALL) for i in range(4)]
+    """Every code of every family that family() gives."""
+    rows = [(f.name, i, f.rgba(i)) for f in map(family, SPECS) for i in range(len(f.codes))]
     return spark.createDataFrame(rows, "family string, id int, rgba binary")
 
 
@@ -119,5 +128,5 @@ def bench_images(spark: SparkSession, n: int) -> DataFrame:
     return scenes.images(scenes.scenario_table(spark, some).repartition(4 * spark.sparkContext.defaultParallelism))
 
 
-QUERIES = {"detect_catalog": detect_catalog, "report_catalog": report_catalog, "pose_catalog": pose_catalog, "sweep_small": sweep_small, "gen_codes_21h7": gen_codes_21h7, "render_tags": render_tags, "noise_lcg": noise_lcg, "component_sizes": component_sizes}
+QUERIES = {"detect_catalog": detect_catalog, "report_catalog": report_catalog, "pose_catalog": pose_catalog, "sweep_small": sweep_small, "sweep": sweep, "gen_codes_21h7": gen_codes_21h7, "render_tags": render_tags, "noise_lcg": noise_lcg, "component_sizes": component_sizes}
 ORACLES = {"component_sizes": COMPONENTS_SQL}

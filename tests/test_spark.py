@@ -10,12 +10,12 @@ import pytest
 
 import __spark_entry__ as entry
 from quadrille import catalog
-from quadrille.families import family, with_codes
+from quadrille.families import SPECS, family, with_codes
 from quadrille.kernel import scenes as kernel
 from quadrille.kernel.detecting import Config, Detector
 from quadrille.operators import evaluate
 from quadrille.operators.detect import detect, estimate_pose, gray_images, per_image, rgba_images
-from quadrille.plans import registry
+from quadrille.plans import kernels, registry
 from quadrille.plans.relational import TABLES
 from quadrille.sources import families, files, scenes
 from quadrille.streaming.frames import detect_stream
@@ -157,3 +157,26 @@ def test_combo4_searches_ten_maxima(spark):
             want[c] = min(found)
     got = {r["c"]: (r["err"], r["i0"], r["i1"], r["i2"], r["i3"]) for r in registry.QUERIES["combo4"](spark, SF).collect()}
     assert got == want
+
+
+def test_whole_sweep_is_registered(spark, monkeypatch):
+    seen = []
+
+    def some(session, scenes_, parts=None):
+        seen.extend(s["name"] for s in scenes_)
+        small = [s for s in scenes_ if s["name"] in ("1tags-single-clean-dec4-500x500", "5tags-mixed-clean-dec2-800x600")]
+        return detect_scenes(session, small, parts)
+
+    detect_scenes = kernels.detect_scenes
+    monkeypatch.setattr(kernels, "detect_scenes", some)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = registry.QUERIES["sweep"](spark, SF).collect()
+    assert sorted(seen) == sorted(r["image_id"] for r in rows) and len(set(seen)) == len(seen) == 294
+    assert sum(r["expected"] for r in rows) == sum(len(s["tags"]) for s in catalog.sweep(True))
+    assert {r["image_id"]: r["detected"] for r in rows if r["detected"]} == {"1tags-single-clean-dec4-500x500": 1, "5tags-mixed-clean-dec2-800x600": 5}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_render_tags_has_every_id(spark):
+    got = {r["family"]: r["count"] for r in registry.QUERIES["render_tags"](spark, SF).groupBy("family").count().collect()}
+    assert got == {n: len(family(n).codes) for n in SPECS}
