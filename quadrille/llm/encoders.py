@@ -8,6 +8,7 @@ encodes only those that are missing. Texts for which that split isn't proven go
 from __future__ import annotations
 
 import hashlib
+import importlib
 import json
 import os
 import re
@@ -25,9 +26,10 @@ _loaded: dict[str, object] = {}
 
 
 def version(path: str) -> str:
-    """Digest of the library and the vocabulary file: another file or library never shares stored counts."""
+    """Digest of the library, its version and the vocabulary file: others never share stored counts."""
+    library = importlib.import_module("tokenizers" if path.endswith(".json") else "sentencepiece")
     with open(path, "rb") as f:
-        return hashlib.sha256(("json:" if path.endswith(".json") else "model:").encode() + f.read()).hexdigest()
+        return hashlib.sha256(f"{library.__name__} {library.__version__}:".encode() + f.read()).hexdigest()
 
 
 def load(path: str):

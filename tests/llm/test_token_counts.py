@@ -34,5 +34,12 @@ def test_versions_are_apart(spark, tmp_path):
     assert counts[0] == counts[2] and spark.read.parquet(cache).count() == 2
 
 
+@pytest.mark.parametrize("name, library", [("piece_bpe_32k.model", "sentencepiece"), ("byte_bpe_50k.json", "tokenizers")])
+def test_another_library_version_is_apart(monkeypatch, name, library):
+    now = encoders.version(P.path(name))
+    monkeypatch.setattr(f"{library}.__version__", "0.0.0")
+    assert encoders.version(P.path(name)) != now
+
+
 def test_empty(spark, tmp_path):
     assert token_counts.count_tokens(cases.empty(spark), str(tmp_path / "c"), P.path("piece_bpe_32k.model")).count() == 0
