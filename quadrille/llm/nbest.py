@@ -3,14 +3,16 @@
 A text's pieces form a lattice. Forward Viterbi gives the best score from the start to every position; it is the exact
 heuristic of an A-star search that grows hypotheses backward from the end, so complete ones leave the queue in the order
 of their scores. No piece crosses the start of a word or a line end, so the lattice of a text is a chain of those of its
-units: every unit's two best are searched once and remembered, and the N best of the chain deviate from the best only
-in the N - 1 units whose second-best segmentation costs least; of these the N best are searched. Sums are exact, as
-scores are whole millionths. All N segmentations of a text are composed, digested and decoded.
+units. Every unit's two best are searched once and remembered; the same search then runs backward over the chain. The N
+best deviate from the best only in the N - 1 units whose deviation comes first in the result's order, so the search
+steps over the other units. Sums are exact, as scores are whole millionths. All N segmentations are composed and digested.
 
 A unigram vocabulary's scores are its pieces' log frequencies. A BPE vocabulary holds ranks instead; its pieces get the
 log of 1 / (rank + 1), as Zipf's law has it. A character that no piece holds becomes its UTF-8 bytes' pieces, or the
 unknown piece where there are none, at 10 below the least score each.
 
+Every remembered segmentation of a unit is decoded once; a text's decodes to the text when all of its units' do.
+
 Defined cases: a null text counts as empty and has one segmentation, without pieces and with score 0; a text with fewer
 than N segmentations gives them all; ties come in the order of their ids, read from the end. A mark U+2581 in a text
 counts as a space and decodes to one. Columns in keep that clash with result columns are dropped.
@@ -26,6 +28,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -37,11 +40,14 @@ from .common import text_or_empty
 from .encoders import slices
 
 N_BEST = 4
-MAX_UNITS = 500_000
+#: Units that a worker remembers, at about 250 bytes each.
+MAX_UNITS = 800_000
 MADE = ["n_pieces", "score", "ids_crc32", "nbest_scores", "round_trip", "nbest_pieces", "nbest_crc32", "nbest_round_trip", "nbest"]
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 SCALE = 1_000_000
+#: The loss of a unit with one segmentation.
+NEVER = 1 << 62
 
 
 class Lattice:
@@ -73,49 +79,6 @@ class Lattice:
         ids = tuple(self.fallback.get(b, self.unknown) for b in raw) if self.fallback else (self.unknown,)
         return [(end - 1, ids, self.fallback_score * len(ids))]
 
-    def best(self, text: str) -> tuple[int, tuple[int, ...], int]:
-        """The best segmentation's score and ids, and by how much the second best is worse, by forward Viterbi."""
-        never, n = -(1 << 62), len(text)
-        first, second, back = [0] + [never] * n, [never] * (n + 1), [None] * (n + 1)
-
-        def spell(end: int) -> None:  # no piece is the character that ends here
-            ((start, ids, score),) = self.spelled(text, end)
-            total, other = first[start] + score, second[start] + score
-            if total > first[end] or (total == first[end] and ids[::-1] < back[end][1][::-1]):
-                back[end] = (start, ids)
-            first[end], second[end] = max(total, first[end]), max(min(total, first[end]), second[end], other)
-
-        at_end, lone = 1, True
-        for at, (size, ids, score) in self.found.iter(text):
-            end = at + 1
-            while at_end < end:
-                if lone:
-                    spell(at_end)
-                at_end, lone = at_end + 1, True
-            if size == 1:
-                lone = False
-            start = end - size
-            total = first[start] + score
-            one = first[end]
-            if total > one:
-                first[end], second[end], back[end] = total, max(one, second[end]), (start, ids)
-            else:
-                if total > second[end]:
-                    second[end] = total
-                if total == one and ids[::-1] < back[end][1][::-1]:
-                    back[end] = (start, ids)
-            if second[start] + score > second[end]:
-                second[end] = second[start] + score
-        while at_end <= n:
-            if lone:
-                spell(at_end)
-            at_end, lone = at_end + 1, True
-        at, path = n, []
-        while at:
-            at, ids = back[at]
-            path.append(ids)
-        return first[n], tuple(x for ids in reversed(path) for x in ids), first[n] - second[n] if second[n] > never // 2 else 1 << 62
-
     def search(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, ids), best first."""
         size = len(text)
@@ -161,7 +124,7 @@ class Lattice:
         ahead[end] = max(ahead[end], ahead[start] + score)
 
 
-def pack(ids: tuple[int, ...]) -> bytes:
+def packed(ids: tuple[int, ...]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
@@ -181,6 +144,18 @@ def no_collection() -> Iterator[None]:
             gc.enable()
 
 
+#: Loss, place, ids, whether they decode to the unit.
+_Choice = tuple[int, int, tuple[int, ...], bool]
+
+
+class Segmentation(NamedTuple):
+    score: int
+    n_pieces: int
+    crc32: int
+    round_trip: bool
+    ids: np.ndarray | None
+
+
 class _Slots(dict):
     def __missing__(self, unit: str) -> int:
         self[unit] = k = len(self)
@@ -189,9 +164,18 @@ class _Slots(dict):
 
 
 class Segmenter:
-    """N-best encoding and decoding with the vocabulary of a sentencepiece model file."""
+    """N-best encoding and decoding with a lattice none of whose pieces crosses the start of a word or a line end.
+    surface: the bytes of every id."""
+
+    def __init__(self, lattice: Lattice, surface: list[bytes]):
+        if any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p) for p in lattice.pieces):
+            raise ValueError("the vocabulary has pieces that cross the start of a word or a line end")
+        self.lattice, self.surface = lattice, surface
+        self._clear()
 
-    def __init__(self, path: str):
+    @classmethod
+    def of_model(cls, path: str) -> Segmenter:
+        """With the vocabulary of a sentencepiece model file."""
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -202,91 +186,128 @@ class Segmenter:
             scores = {i: -math.log1p(max(0.0, -s)) for i, s in scores.items()}
         whole = {i: round(s * SCALE) for i, s in scores.items()}
         bytes_ = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(size) if sp.is_byte(i)}
-        self.lattice = Lattice({sp.id_to_piece(i): (i, s) for i, s in whole.items()}, bytes_, min(whole.values()) - 10 * SCALE, sp.unk_id())
-        if any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p) for p in self.lattice.pieces):
-            raise ValueError("the vocabulary has pieces that cross the start of a word or a line end")
-        self.surface = [b""] * size
+        surface = [b""] * size
         for i in plain:
-            self.surface[i] = sp.id_to_piece(i).replace(SPACE, " ").encode()
+            surface[i] = sp.id_to_piece(i).replace(SPACE, " ").encode()
         for b, i in bytes_.items():
-            self.surface[i] = bytes([b])
-        self.surface[sp.unk_id()] = self.surface[sp.unk_id()] or " ⁇ ".encode()
-        self._clear()
+            surface[i] = bytes([b])
+        surface[sp.unk_id()] = surface[sp.unk_id()] or " ⁇ ".encode()
+        return cls(Lattice({sp.id_to_piece(i): (i, s) for i, s in whole.items()}, bytes_, min(whole.values()) - 10 * SCALE, sp.unk_id()), surface)
 
     def _clear(self) -> None:
         self.slot = _Slots()
         self.slot.new = []
         self.units: list[str] = []
-        self.ids: list[tuple[int, ...]] = []
-        self.packed: list[bytes] = []
-        self.surfaces: list[bytes] = []
-        self.best = np.empty(1024, np.int64)
-        self.loss = np.empty(1024, np.int64)
-        self.deep: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.at = {k: np.zeros(1024, v) for k, v in (("start", np.int64), ("count", np.int64), ("best", np.int64), ("loss", np.int64), ("down", bool), ("faithful", bool))}
+        self.deep: dict[int, list[_Choice]] = {}
+
+    def _spells(self, unit: str, ids: tuple[int, ...]) -> bool:
+        return b"".join([self.surface[i] for i in ids]) == unit.replace(SPACE, " ").encode("utf-8", "replace")
 
     def _learn(self) -> None:
         new, self.slot.new = self.slot.new, []
-        while len(self.slot) > len(self.best):
-            self.best, self.loss = (np.concatenate([x, np.empty_like(x)]) for x in (self.best, self.loss))
-        for u in new:
-            k = len(self.units)
-            (self.best[k], ids), *other = self.lattice.search(u, 2)
-            self.loss[k] = self.best[k] - other[0][0] if other else 1 << 62
-            self.units.append(u)
-            self.ids.append(ids)
-            self.packed.append(pack(ids))
-            self.surfaces.append(b"".join([self.surface[i] for i in ids]))
-
-    def chain(self, text: str, n: int) -> tuple[list[int], list[tuple[int, dict[int, tuple[int, ...]]]]]:
-        """The units of a text that isn't empty, and its n best: score in millionths, and the ids of those units that
-        don't have their best ones."""
+        while len(self.slot) > len(self.at["start"]):
+            self.at = {k: np.concatenate([x, np.zeros_like(x)]) for k, x in self.at.items()}
+        start, count, best, loss, down, faithful = self.at.values()
+        found: list[int] = []
+        base, search = self.used, self.lattice.search
+        for k, u in enumerate(new, len(self.units)):
+            (best[k], ids), *other = search(u, 2)
+            loss[k] = best[k] - other[0][0] if other else NEVER
+            down[k] = bool(other) and other[0][1][::-1] < ids[::-1]
+            start[k], count[k] = base + len(found), len(ids)
+            faithful[k] = self._spells(u, ids)
+            found += ids
+        self.units += new
+        while self.used + len(found) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(found)] = found
+        self.used += len(found)
+
+    def _deep(self, k: int, n: int) -> list[_Choice]:
+        """The n best of a unit as (loss, place in the order of ids from the end, ids, decodes to the unit)."""
+        if len(self.deep.get(k, ())) < n:
+            found = self.lattice.search(self.units[k], n)
+            place = {ids: i for i, ids in enumerate(sorted((ids for _, ids in found), key=lambda x: x[::-1]))}
+            self.deep[k] = [(found[0][0] - s, place[ids], ids, self._spells(self.units[k], ids)) for s, ids in found]
+        return self.deep[k]
+
+    def deviations(self, at: np.ndarray, n: int) -> list[tuple[int, list[tuple[int, _Choice]]]]:
+        """Of a chain of units the n best: the loss, and the units (by place in the chain) that don't have their best.
+
+        Backward A-star over the chain; what the units before a hypothesis lose at least, 0, is its exact heuristic.
+        Of one loss, deviations to ids that come earlier are better the later they are, others the earlier."""
+        loss = self.at["loss"][at]
+        if n == 1 or not len(at):
+            return [(0, [])]
+        brink = np.partition(loss, n - 2)[n - 2] if len(loss) >= n else NEVER - 1
+        few = np.flatnonzero(loss <= min(brink, NEVER - 1))
+        if len(few) >= n:
+            down = self.at["down"][at[few]]
+            few = few[np.lexsort((np.where(down, -few, few), ~down, loss[few]))[: n - 1]]
+        few = np.sort(few)[::-1].tolist()
+        choices = [self._deep(int(at[i]), n) for i in few]
+        queue: list[tuple[int, tuple[int, ...], tuple[int, ...]]] = [(0, (), ())]
+        out = []
+        while queue and len(out) < n:
+            cost, places, picks = heapq.heappop(queue)
+            step = len(picks)
+            if step == len(few):
+                out.append((cost, [(i, c[j]) for i, c, j in zip(few, choices, picks, strict=True) if j]))
+                continue
+            for j, (more, place, _, _) in enumerate(choices[step]):
+                heapq.heappush(queue, (cost + more, (*places, place), (*picks, j)))
+        return out
+
+    def segmentations(self, texts: list[str], n: int = N_BEST, with_ids: bool = True) -> Iterator[list[Segmentation]]:
+        """For each text its n best segmentations."""
         if len(self.slot) > MAX_UNITS:
             self._clear()
-        units = _UNIT.findall(SPACE + text.replace(" ", SPACE))
+        units: list[str] = []
+        sizes = []
+        for t in texts:
+            sizes.append(-len(units))
+            if t:
+                units += _UNIT.findall(SPACE + t.replace(" ", SPACE))
+            sizes[-1] += len(units)
         at = np.fromiter(map(self.slot.__getitem__, units), np.int64, len(units))
         if self.slot.new:
             self._learn()
-        total = int(self.best[at].sum())
-        loss = self.loss[at]
-        few = np.argpartition(loss, n - 2)[: n - 1] if len(at) >= n > 1 else np.arange(len(at) if n > 1 else 0)
-        if len(at) >= n > 1:  # of equal losses at the brink, the last in the text: their ids decide ties from the end
-            brink = loss[few].max()
-            sure = np.flatnonzero(loss < brink)
-            few = np.concatenate([sure, np.flatnonzero(loss == brink)[::-1][: n - 1 - len(sure)]])
-        merged: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
-        for i in sorted(few.tolist(), reverse=True):
-            if loss[i] >= 1 << 62:
-                continue
-            choices = self._deep(int(at[i]), n)
-            merged = heapq.nsmallest(n, ((cost + choices[0][0] - s, picks + ((i, j),)) for cost, picks in merged for j, (s, _) in enumerate(choices)))
-        return at.tolist(), [(total - cost, {i: self._deep(int(at[i]), n)[j][1] for i, j in picks if j}) for cost, picks in merged]
+        count = self.at["count"][at]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.repeat(self.at["start"][at] - ends + count, count) + np.arange(total)].astype("<u4", copy=False)
+        raw = memoryview(flat).cast("B") if total else memoryview(b"")
+        best, wrong = self.at["best"][at], ~self.at["faithful"][at]
+        upto = np.concatenate([[0], ends])
+        first = 0
+        for size in sizes:
+            last = first + size
+            lo, hi = int(upto[first]), int(upto[last])
+            bad = int(wrong[first:last].sum())
+            score = int(best[first:last].sum())
+            out = []
+            for cost, others in self.deviations(at[first:last], n):
+                crc, pos, length, parts, off = 0, lo, hi - lo, [], bad
+                for i, (_, _, ids, spells) in reversed(others):
+                    a, b = int(upto[first + i]), int(upto[first + i + 1])
+                    own = packed(ids)
+                    crc = zlib.crc32(own, zlib.crc32(raw[4 * pos : 4 * a], crc))
+                    length += len(ids) - (b - a)
+                    off += (not spells) - int(wrong[first + i])
+                    if with_ids:
+                        parts += [flat[pos:a], np.array(ids, "<u4")]
+                    pos = b
+                crc = zlib.crc32(raw[4 * pos : 4 * hi], crc)
+                whole = np.concatenate([*parts, flat[pos:hi]]).view("<i4") if with_ids else None
+                out.append(Segmentation(score - cost, length, crc, not off, whole))
+            yield out
+            first = last
 
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[int, list[int]]]:
         """The n best (score in millionths, ids) of a text."""
-        if not text:
-            return [(0, [])]
-        at, found = self.chain(text, n)
-        return [(score, [x for i, k in enumerate(at) for x in (other.get(i) or self.ids[k])]) for score, other in found]
-
-    def packed_encode(self, text: str, n: int = N_BEST) -> list[tuple[int, bytes, bytes]]:
-        """As encode(), but ids as little-endian 32-bit numbers, with the bytes that they stand for."""
-        if not text:
-            return [(0, b"", b"")]
-        at, found = self.chain(text, n)
-        ids, spelled = [self.packed[k] for k in at], [self.surfaces[k] for k in at]
-        out = []
-        for score, other in found:
-            for i, x in other.items():
-                ids[i], spelled[i] = pack(x), b"".join([self.surface[k] for k in x])
-            out.append((score, b"".join(ids), b"".join(spelled)))
-            for i in other:
-                ids[i], spelled[i] = self.packed[at[i]], self.surfaces[at[i]]
-        return out
-
-    def _deep(self, k: int, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        if len(self.deep.get(k, ())) < n:
-            self.deep[k] = self.lattice.search(self.units[k], n)
-        return self.deep[k]
+        return [(s.score, s.ids.tolist()) for s in next(self.segmentations([text], n))]
 
     def decode(self, ids: Iterable[int]) -> str:
         return shown(b"".join(map(self.surface.__getitem__, ids)))
@@ -297,7 +318,7 @@ _loaded: dict[str, Segmenter] = {}
 
 def load(path: str) -> Segmenter:
     if path not in _loaded:
-        _loaded[path] = Segmenter(path)
+        _loaded[path] = Segmenter.of_model(path)
     return _loaded[path]
 
 
@@ -315,15 +336,10 @@ def segment(docs: DataFrame, model: str, n: int = N_BEST, text_col: str = "text"
             for lo, hi in slices(texts):
                 cols: list[list] = [[] for _ in made]
                 with no_collection():
-                    found_all = [coder.packed_encode(t, n) for t in texts[lo:hi]]
-                for t, found in zip(texts[lo:hi], found_all, strict=True):
-                    same = t.replace(SPACE, " ")
-                    pieces, crcs = [len(x) // 4 for _, x, _ in found], [zlib.crc32(x) for _, x, _ in found]
-                    trips = [shown(x) == same for _, _, x in found]
-                    ids = [np.frombuffer(x, "<i4") for _, x, _ in found] if with_ids else None
-                    row = (pieces[0], found[0][0] / SCALE, crcs[0], [s / SCALE for s, _, _ in found], trips[0], pieces, crcs, trips, ids)
-                    for c, v in zip(cols, row, strict=False):
-                        c.append(v)
+                    for found in coder.segmentations(texts[lo:hi], n, with_ids):
+                        scores, pieces, crcs, trips, ids = zip(*found, strict=True)
+                        for c, v in zip(cols, (pieces[0], scores[0] / SCALE, crcs[0], [s / SCALE for s in scores], trips[0], pieces, crcs, trips, ids), strict=False):
+                            c.append(v)
                 kinds = [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in b.columns[:-1]] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], [*b.schema.names[:-1], *made])
 
