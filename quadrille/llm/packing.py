@@ -1,15 +1,18 @@
 """Packing by best-fit decreasing.
 
 Documents become token ids, each with an end id. An overlong document is cut into full windows first; each is a
-sequence of its own. What is left of every document, less than a window, is packed: pieces in falling length, each into
-the open window with the least room that holds it, which a segment tree indexed by remaining capacity finds.
-
-Pieces are dealt to groups of about ``GROUP_ROWS`` by a hash, and each group is packed by one task; a group wastes less
-than half of one window beyond what the lengths force, and no task's work grows with the corpus. Only lengths and
-digests need to be shuffled; ids go along where they are asked for.
-
-Defined cases: a null text counts as empty and gives the end id alone; repeated rows are packed each on their own;
-an empty table gives no pieces. The result's columns are fixed, so that others of the input cannot clash.
+sequence of its own, and its place is known at once. What is left of every document, less than a window, is packed:
+pieces in falling length, each into the open window with the least room that holds it, which a segment tree indexed by
+remaining capacity finds.
+
+Pieces get numbers and are written once to the shared folder. The rest is dealt by a hash of the number to groups of
+about ``GROUP_ROWS``, so equal documents part; each group is packed by one task and wastes less than half of one window
+beyond what the lengths force. A group holds less than ``GROUP_ROWS`` windows, with ids too, whatever the corpus holds.
+Sequences of packed pieces have even numbers, full windows odd ones.
+
+Defined cases: a null text counts as empty and gives the end id alone; repeated rows are packed each on their own, and so
+are rows with a null id; an empty table gives no pieces. The result's columns are fixed, so that others of the input
+cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import text_or_empty
+from .common import materialize, text_or_empty
 
 WINDOW, END_ID, GROUP_ROWS = 2048, 1, 4096
 
@@ -108,27 +111,29 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return source.mapInArrow(cut, f"id {id_type.simpleString()}, {schema}")
 
 
-def pack(cut: DataFrame, rows: int, window: int = WINDOW) -> DataFrame:
-    """cut and for each piece ``sequence_id`` and ``offset``. rows: about how many pieces are shorter than a window."""
-    groups = max(1, -(-rows // GROUP_ROWS))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema]
+def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
+    """cut and for each piece ``sequence_id`` and ``offset``."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
+    # A table, so that a number once given stays, whatever is computed anew.
+    cut = materialize(cut.withColumn("__q_row", F.monotonically_increasing_id()), "pieces")
+    rest = cut.where(F.col("length") < window)
+    groups = max(1, -(-rest.count() // GROUP_ROWS))
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "ids_crc32", "start"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "ids_crc32", "__q_row"], ascending=[False, True, True], kind="stable")
         where = best_fit(pdf["length"].tolist(), window)
-        pdf["sequence_id"] = [w * groups + key[0] for w, _ in where]
+        pdf["sequence_id"] = [2 * (w * groups + key[0]) for w, _ in where]
         pdf["offset"] = [o for _, o in where]
-        return pdf.drop(columns="__q_group")
+        return pdf.drop(columns=["__q_group", "__q_row"])
 
-    dealt = cut.withColumn("__q_group", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("__q_group").applyInPandas(place, ", ".join(fields) + ", sequence_id long, offset long")
+    packed = rest.withColumn("__q_group", F.pmod(F.xxhash64("__q_row"), F.lit(groups))).groupBy("__q_group").applyInPandas(place, f"{fields}, sequence_id long, offset long")
+    full = cut.where(F.col("length") == window).withColumns({"sequence_id": 2 * F.col("__q_row") + 1, "offset": F.lit(0).cast("long")}).drop("__q_row")
+    return packed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most window ids."""
-    rows = docs.select(F.lit(1)).count()
-    out = pack(pieces(docs, tokenizer, id_col, text_col, window, end_id, with_ids), rows, window)
-    return out.withColumnRenamed("id", id_col)
+    return pack(pieces(docs, tokenizer, id_col, text_col, window, end_id, with_ids), window).withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -90,3 +90,40 @@ def test_repeats_and_empty(spark):
     got = packing.pack_documents(df, PATH).collect()
     assert len(got) == 3 and len({(r["sequence_id"], r["offset"]) for r in got}) == 3
     assert packing.pack_documents(cases.empty(spark), PATH).count() == 0
+
+
+def test_null_ids_and_hot_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 300)
+    rows = [(None, "the same words " * 20, "en", "a", 1)] * 3000 + [(i, f"{i} " * 700, "en", "a", 1) for i in range(20)]
+    out = packing.pack_documents(cases.docs(spark, rows), PATH, window=512, with_ids=False)
+    got = out.collect()
+    by_seq = {}
+    for r in got:
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert (r["length"] == 512) == (r["sequence_id"] % 2 == 1)
+    assert sum(r["doc_id"] is None for r in got) == 3000
+    for places in by_seq.values():
+        at = 0
+        for off, n in sorted(places):
+            assert off == at
+            at += n
+        assert at <= 512
+    sizes = [r["count"] for r in out.where("sequence_id % 2 = 0").groupBy((out["sequence_id"] / 2 % 11).cast("int")).count().collect()]
+    assert len(sizes) == 11 and max(sizes) < 450  # 3020 rests in 11 groups
+
+
+def test_query_against_the_library(spark):
+    lib = encoders.load(PATH).library
+    rows = packing.query(spark, cases.SF).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{cases.SF}/documents.parquet").collect()}
+    want = set()
+    for i, t in texts.items():
+        ids = lib.encode(t, add_special_tokens=False).ids + [1]
+        want |= {(i, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes()), len(ids)) for a in range(0, len(ids), 2048)}
+    assert {tuple(r)[:5] for r in rows} == want and len(rows) == len(want)
+    by_seq = {}
+    for r in rows:
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_seq.values():
+        ends = np.cumsum([n for _, n in sorted(places)])
+        assert [o for o, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 2048
