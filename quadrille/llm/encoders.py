@@ -50,12 +50,12 @@ def chunks(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about CHUNK_CHARS together."""
+def slices(texts: list[str], most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many texts, with about CHUNK_CHARS together."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= CHUNK_CHARS:
+        if size >= CHUNK_CHARS or i + 1 - start >= most:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):

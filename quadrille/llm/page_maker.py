@@ -8,21 +8,24 @@ from collections.abc import Callable, Iterator
 #: Marks article text in training pages; it is no letter, space or punctuation, and counts as one character.
 MARK = "⁣"
 _PARTS = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve que tion ment ei ch ung ci do os la mi".split()
-MENU = [("nav", ""), ("div", "nav"), ("div", "menu main-menu"), ("ul", "navbar"), ("div", "breadcrumb"), ("header", "site-header"), ("div", "topbar"), ("nav", "site-nav")]
-SIDE = [("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "right-rail"), ("div", "widget"), ("section", "related-posts"), ("div", "recommended")]
-ADS = [("div", "ad"), ("div", "advert"), ("div", "ads-box"), ("aside", "sponsored"), ("div", "banner"), ("ins", "adsbygoogle"), ("div", "promo"), ("section", "advertisement")]
-NOTICES = [("div", "cookie-notice"), ("div", "notice"), ("section", "alert"), ("div", "gdpr-consent"), ("dialog", "popup"), ("div", "subscribe-banner")]
-FORMS = [("form", ""), ("form", "newsletter"), ("form", "search-form"), ("div", "login")]
-COMMENTS = [("section", "comments"), ("div", "comment-list"), ("div", "disqus"), ("ol", "commentlist"), ("section", "discussion"), ("div", "replies")]
-FOOT = [("footer", ""), ("div", "footer"), ("footer", "site-footer"), ("div", "copyright")]
-HEAD = [("header", ""), ("div", "header"), ("header", "masthead"), ("div", "site-head")]
-BODY = [("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "entry-content"), ("section", "story"), ("div", "post"), ("div", ""), ("div", "text"), ("section", "")]
+MENU = [("nav", ""), ("div", "nav"), ("div", "menu main-menu"), ("ul", "navbar"), ("div", "breadcrumb"), ("header", "site-header"), ("div", "topbar"), ("nav", "site-nav"), ("div", "navigation"), ("div", "toolbar"), ("ul", "pagination"), ("div", "pager"), ("div", "share-links"), ("div", "tags"), ("div", "skip-links"), ("div", "social")]
+SIDE = [("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "right-rail"), ("div", "widget"), ("section", "related-posts"), ("div", "recommended"), ("div", "side-column"), ("div", "more-stories"), ("div", "teaser-list"), ("div", "related"), ("section", "widget-area")]
+ADS = [("div", "ad"), ("div", "advert"), ("div", "ads-box"), ("aside", "sponsored"), ("div", "banner"), ("ins", "adsbygoogle"), ("div", "promo"), ("section", "advertisement"), ("div", "sponsor"), ("div", "promotion"), ("div", "outbrain")]
+NOTICES = [("div", "cookie-notice"), ("div", "notice"), ("section", "alert"), ("div", "gdpr-consent"), ("dialog", "popup"), ("div", "subscribe-banner"), ("div", "modal"), ("div", "overlay"), ("div", "cookies"), ("div", "legal-notice"), ("div", "consent")]
+FORMS = [("form", ""), ("form", "newsletter"), ("form", "search-form"), ("div", "login"), ("div", "signup"), ("div", "subscribe"), ("div", "search"), ("section", "contact-form")]
+COMMENTS = [("section", "comments"), ("div", "comment-list"), ("div", "disqus"), ("ol", "commentlist"), ("section", "discussion"), ("div", "replies"), ("div", "responses"), ("section", "reader-comments"), ("ul", "comment-thread")]
+FOOT = [("footer", ""), ("div", "footer"), ("footer", "site-footer"), ("div", "copyright"), ("div", "page-footer"), ("div", "legal"), ("div", "foot")]
+HEAD = [("header", ""), ("div", "header"), ("header", "masthead"), ("div", "site-head"), ("div", "page-header"), ("div", "logo")]
+BODY = [("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "entry-content"), ("section", "story"), ("div", "post"), ("div", ""), ("div", "text"), ("section", ""), ("main", "main-content"), ("div", "page-content"), ("div", "news"), ("div", "blog-post"), ("td", ""), ("div", "prose")]
 
 
 class Maker:
     def __init__(self, rng: random.Random):
         self.r = rng
-        self.plain = rng.random() < 0.12  # a page whose classes say nothing
+        self.plain = rng.random() < 0.08  # a page whose classes say nothing
+        self.bare = rng.random() < 0.12  # the article has no element of its own
+        # Parts amid the article always have classes, as nothing else tells them from its paragraphs.
+        self.named = self.bare
 
     def word(self) -> str:
         return "".join(self.r.choice(_PARTS) for _ in range(self.r.choice((1, 1, 2, 2, 3, 4))))
@@ -37,7 +40,7 @@ class Maker:
 
     def element(self, kind: tuple[str, str], inner: str) -> str:
         tag, name = kind
-        if self.plain or self.r.random() < 0.1:
+        if not self.named and (self.plain or self.r.random() < 0.05):
             name = self.r.choice(("", f"c{self.r.randrange(99)}"))
         attr = f' {self.r.choice(("class", "class", "class", "id"))}="{name}"' if name else ""
         return f"<{tag}{attr}>{inner}</{tag}>"
@@ -87,6 +90,8 @@ class Maker:
         mark = lambda s: MARK + (s.upper() if shout else s)
         n = self.r.choice((0, 1, 1, 1, 1, 1, 2, 2, 3, 4, 6, 9, 15, 25))
         blocks = []
+        # How this page writes a paragraph: mostly as one, else as an unnamed block or as bare text.
+        para = self.r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<div>{}</div>", "<section>{}</section>", "{}<br><br>"))
         if self.r.random() < 0.85:
             title = mark(" ".join(self.word() for _ in range(self.r.randrange(1, 9))).capitalize())
             blocks.append(f"<h1>{title}</h1>" if self.r.random() < 0.9 else f"<h2>{title}</h2>")
@@ -96,7 +101,7 @@ class Maker:
             kind = self.r.random()
             s = mark(" ".join(self.sentence(noisy) for _ in range(self.r.choice((1, 1, 1, 2, 3, 4, 6, 9)))))
             if kind < 0.72:
-                blocks.append(f"<p>{s}</p>" if self.r.random() < 0.85 else f"<p>{s}")
+                blocks.append(para.format(s) if self.r.random() < 0.95 else f"<p>{s}")
             elif kind < 0.78 or (n == 1 and kind < 0.84):
                 blocks.append(f"<p><b>{s}<br>")
             elif kind < 0.82:
@@ -112,17 +117,26 @@ class Maker:
                 blocks.append(f"<pre>{s}</pre>")
             elif kind < 0.97:
                 blocks.append(f"<figure><img src=x><figcaption>{mark(self.words(6))}</figcaption></figure>")
+            elif kind < 0.98:
+                tag = self.r.choice(("button", "math", "label", "svg"))
+                blocks.append(para.format(f"{s} <{tag}>{mark(self.word())}</{tag}> {mark(self.words(5))}"))
             else:
                 blocks.append(f"<p>{s} <a href='/y'>{mark(self.words(2))}</a> {mark(self.words(4))}</p>")
         for make, chance in ((self.ad, 0.2), (self.form, 0.1), (self.side, 0.1), (self.notice, 0.1)):
             if blocks and self.r.random() < chance:
+                self.named = True
                 blocks.insert(self.r.randrange(1, len(blocks) + 1), make())
+                self.named = self.bare
         inner = "".join(blocks)
         if self.r.random() < 0.2:
             inner = f'<div class="{self.r.choice(("inner", "body", "text", "wrap", "col"))}">{inner}</div>'
         if self.r.random() < 0.12:
             inner += self.comments()
-        return self.element(self.r.choice(BODY) if self.r.random() < 0.6 else ("article", ""), inner)
+        kind = self.r.choice(BODY) if self.r.random() < 0.7 else ("article", "")
+        if kind[0] == "td":
+            side = f"<td>{self.links(4)}</td>" if self.r.random() < 0.6 else ""
+            return f"<table><tr>{side}<td>{inner}</td></tr></table>"
+        return inner if self.bare else self.element(kind, inner)
 
     def page(self) -> str:
         r = self.r
@@ -131,7 +145,8 @@ class Maker:
         if r.random() < 0.3:
             r.shuffle(before)
         script = '<script>var t="</p>";track(1);</script>' if r.random() < 0.5 else ""
-        body = "".join(before) + "<!-- x -->" * (r.random() < 0.3) + self.article() + script + "".join(after)
+        article = self.article() if r.random() < 0.97 else ""
+        body = "".join(before) + "<!-- x -->" * (r.random() < 0.3) + article + script + "".join(after)
         for _ in range(r.choice((0, 0, 0, 1, 2))):
             body = f'<div class="{r.choice(("wrap", "container", "page", "site", "row", "layout"))}">{body}</div>'
         end = "</body></html>" if r.random() < 0.7 else ""
