@@ -102,11 +102,9 @@ def sketches(scored: DataFrame) -> DataFrame:
 
 def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, spread: int = SPREAD) -> DataFrame:
     """Per language and source the lowest and highest value of each metric that is kept."""
-    sketch.createOrReplaceTempView(view := "__q_sketch")
-    merged = sketch.sparkSession.sql(f"""
-        SELECT grouping(__q_source) + grouping(__q_lang) AS level, __q_lang, __q_source, metric, bucket, sum(n) AS n FROM {view}
-        GROUP BY GROUPING SETS ((__q_lang, __q_source, metric, bucket), (__q_lang, metric, bucket), (metric, bucket))""")
-    sketch.sparkSession.catalog.dropTempView(view)
+    lang, source, rest = F.col("__q_lang"), F.col("__q_source"), [F.col("metric"), F.col("bucket")]
+    sets = sketch.groupingSets([[lang, source, *rest], [lang, *rest], rest], lang, source, *rest)
+    merged = sets.agg((F.grouping("__q_source") + F.grouping("__q_lang")).alias("level"), F.sum("n").alias("n"))
     keys = ["level", "__q_lang", "__q_source", "metric"]
     ordered = merged.selectExpr("*", f"sum(n) OVER (PARTITION BY {', '.join(keys)} ORDER BY bucket) AS upto", f"sum(n) OVER (PARTITION BY {', '.join(keys)}) AS total")
     quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))

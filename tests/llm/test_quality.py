@@ -53,3 +53,9 @@ def test_empty_and_keep(spark):
     df = cases.clashing(cases.docs(spark), "kept")
     kept = quality.keep_good(df)
     assert kept.columns == df.columns and kept.count() <= df.count()
+
+
+def test_many_groups_are_joined_alike(spark, monkeypatch):
+    want = sorted(map(tuple, quality.query(spark, cases.SF).collect()))
+    monkeypatch.setattr(quality, "MAX_BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, quality.query(spark, cases.SF).collect())) == want
