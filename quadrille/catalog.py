@@ -36,7 +36,7 @@ def scenarios(category: str | None = None, name: str | None = None) -> list[dict
     for px in (16, 32, 64, 128, 200):
         side = max(3 * px, 200)
         out.append(scenario("scale", f"scale-{px}px", [tag(side / 2, side / 2, px / 2)], 3, (side, side), decimate=1.0 if px <= 32 else None))
-    out += [alone("noise", f"noise-gaussian-{s}", {"kind": "noise", "sigma": float(s), "seed": 42}, 5) for s in (5, 10, 20, 40)]
+    out += [alone("noise", f"noise-sigma{s}", {"kind": "noise", "sigma": float(s), "seed": 42}, 5) for s in (5, 10, 20, 40)]
     out += [alone("noise", f"noise-saltpepper-{pct(d)}", {"kind": "salt_pepper", "density": d, "seed": 42}, 5) for d in (0.05, 0.10)]
     out += [alone("contrast", f"contrast-{pct(f)}", {"kind": "contrast", "factor": f}, 3) for f in (0.5, 0.25, 0.1)]
     out += [

@@ -175,37 +175,45 @@ def generate(layout: Layout, min_hamming: int, min_complexity: int, max_candidat
 def search(rule: Complexity, nbits: int, start: int, min_hamming: int, max_candidates: int | None = None, max_codes: int | None = None, chunk: int = 1 << 16, progress=None) -> np.ndarray:
     total = min(1 << nbits, max_candidates or 1 << nbits)
     mask = np.uint64((1 << nbits) - 1)
-    taken = np.empty(0, np.uint64)  # every rotation of the accepted codes
+    taken = np.empty(0, np.uint64)
     out: list[int] = []
     for lo in range(0, total, chunk):
         if progress:
             progress(lo, total, len(out))
         k = np.arange(lo + 1, min(lo + chunk, total) + 1, dtype=np.uint64)
         codes = (np.uint64(start) + k * np.uint64(STEP)) & mask
-        codes = codes[rule.enough(codes)]
-        turns = [codes]
-        for _ in range(3):
-            turns.append(rotate90(turns[-1], nbits))
-        # Rotations by 1 and 3 are equally far; so a quarter and a half turn tell all.
-        ok = (hamming(turns[0], turns[1]) >= min_hamming) & (hamming(turns[0], turns[2]) >= min_hamming)
-        turns = np.stack(turns)[:, ok]
-        if len(taken):
-            far = np.ones(turns.shape[1], bool)
-            for part in np.array_split(taken, max(1, len(taken) // 64)):
-                at = np.flatnonzero(far)
-                far[at] = (hamming(turns[0, at][:, None], part[None, :]) >= min_hamming).all(1)
-            turns = turns[:, far]
-        while turns.shape[1]:
-            out.append(int(turns[0, 0]))
-            new = turns[:, 0]
-            taken = np.concatenate([taken, new])
-            if max_codes and len(out) >= max_codes:
-                return np.array(out, np.uint64)
-            turns = turns[:, 1:]
-            turns = turns[:, (hamming(turns[0][:, None], new[None, :]) >= min_hamming).all(1)]
+        new, taken = accept(codes[rule.enough(codes)], taken, nbits, min_hamming, max_codes and max_codes - len(out))
+        out += new
+        if max_codes and len(out) >= max_codes:
+            break
     return np.array(out, np.uint64)
 
 
+def accept(codes: np.ndarray, taken: np.ndarray, nbits: int, min_hamming: int, most: int | None = None) -> tuple[list[int], np.ndarray]:
+    """The codes, in their order, that are far enough from their own turns, from taken and from those accepted before;
+    and taken with every turn of these."""
+    turns = [codes]
+    for _ in range(3):
+        turns.append(rotate90(turns[-1], nbits))
+    # Rotations by 1 and 3 are equally far; so a quarter and a half turn tell all.
+    ok = (hamming(turns[0], turns[1]) >= min_hamming) & (hamming(turns[0], turns[2]) >= min_hamming)
+    turns = np.stack(turns)[:, ok]
+    if len(taken):
+        far = np.ones(turns.shape[1], bool)
+        for part in np.array_split(taken, max(1, len(taken) // 64)):
+            at = np.flatnonzero(far)
+            far[at] = (hamming(turns[0, at][:, None], part[None, :]) >= min_hamming).all(1)
+        turns = turns[:, far]
+    out: list[int] = []
+    while turns.shape[1] and (most is None or len(out) < most):
+        out.append(int(turns[0, 0]))
+        new = turns[:, 0]
+        taken = np.concatenate([taken, new])
+        turns = turns[:, 1:]
+        turns = turns[:, (hamming(turns[0][:, None], new[None, :]) >= min_hamming).all(1)]
+    return out, taken
+
+
 def upgrade(code: int, layout: Layout) -> int:
     """A code whose bits are in reading order, in the order of bits()."""
     side = round(layout.nbits**0.5)

@@ -94,16 +94,18 @@ class Reader:
         self.gx, self.gy = bits[:, 0] + lay.border_start, bits[:, 1] + lay.border_start
         self.inside = (self.gx >= 1) & (self.gx + 1 < lay.size) & (self.gy >= 1) & (self.gy + 1 < lay.size)
 
-    def read(self, img: np.ndarray, h: np.ndarray, sharpening: float) -> tuple[Match, float] | None:
+    def planes(self, img: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gray planes of the border's white and black sides, over the marker's square."""
         height, width = img.shape
-        lay = self.family.layout
         px, py = project(h, self.bx, self.by)
         on = (px >= 0) & (py >= 0) & (px < width - 1) & (py < height - 1)
         gray = sample(img, px[on], py[on])
-        planes = [gray_plane(self.bx[on][m], self.by[on][m], gray[m]) for m in (self.white[on], ~self.white[on])]
-        light, dark = planes[0][2], planes[1][2]
-        if not (light < dark if lay.reversed_border else light > dark):
-            return None
+        light, dark = (gray_plane(self.bx[on][m], self.by[on][m], gray[m]) for m in (self.white[on], ~self.white[on]))
+        return light, dark
+
+    def samples(self, img: np.ndarray, h: np.ndarray, planes: tuple[np.ndarray, np.ndarray], sharpening: float) -> np.ndarray | None:
+        """Each bit's gray value beyond the middle of the planes, sharpened; None where some bit lies nowhere."""
+        lay = self.family.layout
         px, py = project(h, self.tx, self.ty)
         if not (np.isfinite(px).all() and np.isfinite(py).all() and max(np.abs(px).max(), np.abs(py).max()) < 1e9):
             return None
@@ -115,13 +117,27 @@ class Reader:
             x, y = self.gx[self.inside], self.gy[self.inside]
             v = v.copy()
             v[self.inside] += sharpening * (4 * grid[y, x] - grid[y - 1, x] - grid[y + 1, x] - grid[y, x - 1] - grid[y, x + 1])
-        code = int("".join("01"[b] for b in (v > 0).astype(int)), 2)
-        up, down = v[v > 0], -v[v <= 0]
-        margin = float(np.float32(min(up.sum() / (len(up) + 1), down.sum() / (len(down) + 1))))
+        return v
+
+    def read(self, img: np.ndarray, h: np.ndarray, sharpening: float) -> tuple[Match, float] | None:
+        planes = self.planes(img, h)
+        light, dark = planes[0][2], planes[1][2]
+        if not (light < dark if self.family.layout.reversed_border else light > dark):
+            return None
+        v = self.samples(img, h, planes, sharpening)
+        if v is None:
+            return None
+        code, margin = code_of(v)
         found = self.table.find(code)
         return (found, margin) if found else None
 
 
+def code_of(v: np.ndarray) -> tuple[int, float]:
+    """The code of bit samples, the first the highest bit, and the decision margin."""
+    up, down = v[v > 0], -v[v <= 0]
+    return int("".join("01"[b] for b in (v > 0).astype(int)), 2), float(np.float32(min(up.sum() / (len(up) + 1), down.sum() / (len(down) + 1))))
+
+
 def overlap(p: np.ndarray, q: np.ndarray) -> bool:
     """Whether two convex quads touch: no side's normal separates them."""
     for poly in (p, q):

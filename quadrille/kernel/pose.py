@@ -19,43 +19,62 @@ def nearest_rotation(m: np.ndarray) -> np.ndarray:
 
 
 def start(h: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
-    k = np.array([[p["fx"], 0, p["cx"]], [0, p["fy"], p["cy"]], [0, 0, 1.0]])
-    c = np.linalg.inv(k) @ h
-    c = c / ((np.linalg.norm(c[:, 0]) + np.linalg.norm(c[:, 1])) / 2)
-    a, b = c[:, 0], -c[:, 1]
-    return nearest_rotation(np.stack([a, b, np.cross(a, b)], 1)), c[:, 2] * p["tagsize"] / 2
-
-
-def iterate(rays: np.ndarray, points: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Rotation, translation and object-space error after STEPS steps."""
-    f = np.einsum("ni,nj->nij", rays, rays) / (rays**2).sum(1)[:, None, None]
-    gap = np.eye(3) - f.mean(0)
-    inverse = np.linalg.inv(gap) if abs(np.linalg.det(gap)) > 1e-300 else np.eye(3)
-    center = points - points.mean(0)
+    """Rotations and translations that homographies suggest. p: camera numbers, or arrays of them."""
+    c = h.copy()
+    c[:, 0] = (h[:, 0] - p["cx"][:, None] * h[:, 2]) / p["fx"][:, None]
+    c[:, 1] = (h[:, 1] - p["cy"][:, None] * h[:, 2]) / p["fy"][:, None]
+    c /= ((np.linalg.norm(c[:, :, 0], axis=1) + np.linalg.norm(c[:, :, 1], axis=1)) / 2)[:, None, None]
+    a, b = c[:, :, 0], -c[:, :, 1]
+    return nearest_rotation(np.stack([a, b, np.cross(a, b)], 2)), c[:, :, 2] * p["tagsize"][:, None] / 2
+
+
+def iterate(rays: np.ndarray, points: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotations, translations and object-space errors after STEPS steps, for many markers at once: rays and points are
+    (markers, 4, 3)."""
+    f = rays[..., :, None] * rays[..., None, :] / (rays**2).sum(-1)[..., None, None]
+    gap = np.eye(3) - f.mean(1)
+    good = np.abs(np.linalg.det(gap)) > 1e-300
+    inverse = np.linalg.inv(np.where(good[:, None, None], gap, np.eye(3)))
+    center = points - points.mean(1, keepdims=True)
+    seen = lambda v: np.einsum("mnij,mnj->mni", f, v)
+    t = np.zeros((len(r), 3))
     for _ in range(STEPS):
-        turned = points @ r.T
-        t = inverse @ (np.einsum("nij,nj->ni", f, turned) - turned).mean(0)
-        q = np.einsum("nij,nj->ni", f, turned + t)
-        r = nearest_rotation((q - q.mean(0)).T @ center)
-    at = points @ r.T + t
-    return r, t, float(((at - np.einsum("nij,nj->ni", f, at)) ** 2).sum())
+        turned = points @ r.transpose(0, 2, 1)
+        t = np.einsum("mij,mj->mi", inverse, (seen(turned) - turned).mean(1))
+        q = seen(turned + t[:, None])
+        r = nearest_rotation((q - q.mean(1, keepdims=True)).transpose(0, 2, 1) @ center)
+    at = points @ r.transpose(0, 2, 1) + t[:, None]
+    return r, t, ((at - seen(at)) ** 2).sum((1, 2))
 
 
-def estimate(corners: np.ndarray, p: dict) -> dict:
-    """The better pose and the other local minimum: rotation, translation, error, and the same with alt_."""
-    h = homography(np.asarray(corners, float))
+def estimate_all(corners: np.ndarray, p: dict) -> list[dict]:
+    """For each marker (corners: markers, 4, 2; p: arrays of camera numbers) the better pose and the other local minimum:
+    rotation, translation, error, and the same with alt_. Corners without a homography have the error of the largest
+    number."""
     most = float(np.finfo(float).max)
-    if h is None:
-        return {"rotation": np.eye(3), "translation": np.array([0.0, 0.0, 1.0]), "error": most, "alt_rotation": None, "alt_translation": None, "alt_error": most}
-    s = p["tagsize"] / 2
-    points = np.array([[-s, s, 0], [s, s, 0], [s, -s, 0], [-s, -s, 0.0]])
-    rays = np.column_stack([(np.asarray(corners) - [p["cx"], p["cy"]]) / [p["fx"], p["fy"]], np.ones(4)])
-    one = iterate(rays, points, *start(h, p))
-    far = np.linalg.norm(one[1])
-    two = None
-    if far >= 1e-10:
-        n = one[1] / far
-        two = iterate(rays, points, (2 * np.outer(n, n) - np.eye(3)) @ one[0], one[1])
-        if two[2] < one[2]:
-            one, two = two, one
-    return {"rotation": one[0], "translation": one[1], "error": one[2], "alt_rotation": two and two[0], "alt_translation": two and two[1], "alt_error": two[2] if two else most}
+    found = [homography(c) for c in corners]
+    out = [{"rotation": np.eye(3), "translation": np.array([0.0, 0.0, 1.0]), "error": most, "alt_rotation": None, "alt_translation": None, "alt_error": most} for _ in corners]
+    at = np.array([i for i, h in enumerate(found) if h is not None and all(np.isfinite(v[i]) and v[i] != 0 for v in (p["fx"], p["fy"]))], int)
+    if not len(at):
+        return out
+    own = {k: np.asarray(v, float)[at] for k, v in p.items()}
+    s = own["tagsize"] / 2
+    points = np.array([[-1, 1, 0], [1, 1, 0], [1, -1, 0], [-1, -1, 0.0]])[None] * s[:, None, None]
+    rays = np.concatenate([(corners[at] - np.stack([own["cx"], own["cy"]], 1)[:, None]) / np.stack([own["fx"], own["fy"]], 1)[:, None], np.ones((len(at), 4, 1))], 2)
+    one = iterate(rays, points, start(np.stack([found[i] for i in at]), own)[0])
+    far = np.linalg.norm(one[1], axis=1)
+    n = one[1] / np.maximum(far, 1e-10)[:, None]
+    two = iterate(rays, points, (2 * n[:, :, None] * n[:, None, :] - np.eye(3)) @ one[0])
+    for k, i in enumerate(at.tolist()):
+        a, b = ({"rotation": x[0][k], "translation": x[1][k], "error": float(x[2][k])} for x in (one, two))
+        if far[k] < 1e-10:
+            b = {"rotation": None, "translation": None, "error": most}
+        elif b["error"] < a["error"]:
+            a, b = b, a
+        out[i] = a | {f"alt_{x}": v for x, v in b.items()}
+    return out
+
+
+def estimate(corners: np.ndarray, p: dict) -> dict:
+    """estimate_all() for one marker."""
+    return estimate_all(np.asarray(corners, float)[None], {k: np.array([float(v)]) for k, v in p.items()})[0]

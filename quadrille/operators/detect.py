@@ -80,22 +80,41 @@ def per_image(images: DataFrame, detections: DataFrame) -> DataFrame:
     return sizes.join(listed, "image_id", "left").withColumn("detections", F.coalesce("detections", F.array().cast(listed.schema["detections"].dataType)))
 
 
-def estimate_pose(detections: DataFrame, tagsize="tagsize", fx="fx", fy="fy", cx="cx", cy="cy") -> DataFrame:
-    """detections and their ``pose``, by camera columns or numbers."""
+def _poses():
     schema = StructType.fromDDL(POSE)
-    fields = schema.names
-    num = lambda v: F.col(v).cast("double") if isinstance(v, str) else F.lit(float(v))
 
     @F.pandas_udf(schema)
     def run(corners: pd.Series, s: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
-        rows = []
+        cameras = np.stack([x.to_numpy(float, na_value=np.nan) for x in (s, a, b, c, d)])
+        known = [q is not None and len(q) == 4 and all(x is not None and len(x) == 2 and not any(v is None for v in x) for x in q) for q in corners]
+        at = np.flatnonzero(np.array(known, bool) & np.isfinite(cameras).all(0))
         flat = lambda v: None if v is None else np.ravel(v).tolist()
-        for q, *p in zip(corners, s, a, b, c, d, strict=True):
-            found = pose_kernel.estimate(np.array([np.asarray(x) for x in q]), dict(zip(("tagsize", "fx", "fy", "cx", "cy"), p, strict=True)))
-            rows.append({k: flat(v) if "tion" in k else v for k, v in found.items()})
-        return pd.DataFrame(rows, columns=fields)
+        rows = [dict.fromkeys(schema.names)] * len(corners)
+        if len(at):
+            shapes = np.array([[list(x) for x in corners.iloc[i]] for i in at], float)
+            for i, found in zip(at, pose_kernel.estimate_all(shapes, dict(zip(("tagsize", "fx", "fy", "cx", "cy"), cameras[:, at], strict=True))), strict=True):
+                rows[i] = {k: flat(v) if "tion" in k else v for k, v in found.items()}
+        return pd.DataFrame(rows, columns=schema.names)
+
+    return run
+
+
+def estimate_pose(detections: DataFrame, tagsize="tagsize", fx="fx", fy="fy", cx="cx", cy="cy") -> DataFrame:
+    """detections and their ``pose``, by camera columns or numbers. A pose's fields are null where corners or camera
+    numbers are."""
+    num = lambda v: F.col(v).cast("double") if isinstance(v, str) else F.lit(float(v))
+    return detections.withColumn("pose", _poses()("corners", *map(num, (tagsize, fx, fy, cx, cy))))
+
+
+def register_sql(spark) -> None:
+    """Give SQL the functions estimate_tag_pose(corners, tagsize, fx, fy, cx, cy) and yaw_correction(rotation,
+    translation), and the views marker_families and marker_codes."""
+    from ..sources import families
 
-    return detections.withColumn("pose", run("corners", *map(num, (tagsize, fx, fy, cx, cy))))
+    spark.udf.register("estimate_tag_pose", _poses())
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION yaw_correction(r ARRAY<DOUBLE>, t ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN array(t[0] * cos(atan2(r[2], r[0])) + t[2] * sin(atan2(r[2], r[0])), t[1], t[2] * cos(atan2(r[2], r[0])) - t[0] * sin(atan2(r[2], r[0])))")
+    families.families(spark).createOrReplaceTempView("marker_families")
+    families.codes(spark).createOrReplaceTempView("marker_codes")
 
 
 def yaw_correction(rotation, translation):

@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 MARKER = ["image_id", "family", "id"]
 
 
+def _numbered(truth: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__q_n``, the place among those of one marker in an image: truth by its corners, detections by
+    errors, margin and corners. Those of one place belong together."""
+    nth = lambda df, *by: df.withColumn("__q_n", F.row_number().over(Window.partitionBy(*MARKER).orderBy(*by)))
+    return nth(truth, "corners"), nth(detections, "hamming", F.desc("decision_margin"), "corners")
+
+
 def match(truth: DataFrame, detections: DataFrame) -> DataFrame:
     """Each truth row with the detection of its marker: the k-th of either side belong together; else nulls."""
-    nth = lambda df, *by: df.withColumn("__q_n", F.row_number().over(Window.partitionBy(*MARKER).orderBy(*by)))
-    left = nth(truth, F.element_at(F.col("corners"), 1)[0], F.element_at(F.col("corners"), 1)[1])
-    right = nth(detections, "hamming", F.desc("decision_margin"), F.element_at(F.col("corners"), 1)[0]).select(*MARKER, "__q_n", F.struct(*[c for c in detections.columns if c not in MARKER]).alias("found"))
+    left, right = _numbered(truth, detections)
+    right = right.select(*MARKER, "__q_n", F.struct(*[c for c in detections.columns if c not in MARKER]).alias("found"))
     return left.join(right, [*MARKER, "__q_n"], "left").drop("__q_n")
 
 
 def false_positives(truth: DataFrame, detections: DataFrame) -> DataFrame:
-    """Detections that no truth row takes."""
-    nth = lambda df: df.withColumn("__q_n", F.row_number().over(Window.partitionBy(*MARKER).orderBy(F.element_at(F.col("corners"), 1)[0])))
-    return nth(detections).join(nth(truth).select(*MARKER, "__q_n"), [*MARKER, "__q_n"], "left_anti").drop("__q_n")
+    """The detections that match() gives to no truth row."""
+    left, right = _numbered(truth, detections)
+    return right.join(left.select(*MARKER, "__q_n"), [*MARKER, "__q_n"], "left_anti").drop("__q_n")
 
 
 def corner_errors(truth_corners: Column, found_corners: Column) -> Column:

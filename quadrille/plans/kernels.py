@@ -20,10 +20,6 @@ from ..operators.detect import detect, estimate_pose, with_batches
 from ..sources import scenes
 
 
-def _scenes(spark: SparkSession) -> DataFrame:
-    return scenes.scenario_table(spark).repartition(spark.sparkContext.defaultParallelism)
-
-
 def detect_scenes(spark: SparkSession, some: list[dict], parts: int | None = None) -> DataFrame:
     """Detections of scenes, each with the families and the decimation that it is for; parts: the most partitions of
     those that are read alike, the default parallelism if not given."""
@@ -49,22 +45,26 @@ def report_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pose_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = catalog.scenarios("perspective")
-    truth = scenes.truth(scenes.scenario_table(spark, some)).select("image_id", "params.*")
+    truth = scenes.truth(scenes.scenario_table(spark, some)).select("image_id", "params.*")  # one row for each of the catalog's scenes
     found = estimate_pose(detect_scenes(spark, some).join(F.broadcast(truth), "image_id"))
     return found.select("image_id", "family", "id", F.round("pose.error", 6).alias("error"), F.round("pose.alt_error", 6).alias("alt_error"))
 
 
 def sweep_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = [s for s in catalog.sweep() if s["width"] <= 2000]
-    table = scenes.scenario_table(spark, some)
-    return evaluate.scene_results(scenes.truth(table), detect_scenes(spark, some))
+    """The whole quick sweep."""
+    return _sweep(spark, catalog.sweep())
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole sweep. Its largest images have 24 million pixels, so a task has about one scene, a batch one image."""
+    """The whole sweep."""
+    return _sweep(spark, catalog.sweep(True))
+
+
+def _sweep(spark: SparkSession, some: list[dict]) -> DataFrame:
+    """The largest images have 24 million pixels, so a task has about one scene, a batch one image."""
     session = spark.newSession()  # its own batches
     # Two sizes have 25 markers: the size makes names, by which images are joined, differ.
-    some = [s | {"name": f"{s['name']}-{s['width']}x{s['height']}"} for s in catalog.sweep(True)]
+    some = [s | {"name": f"{s['name']}-{s['width']}x{s['height']}"} for s in some]
     table = with_batches(scenes.scenario_table(session, some), 1)
     return evaluate.scene_results(scenes.truth(table), detect_scenes(session, some, len(some)))
 

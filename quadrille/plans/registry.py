@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernels, relational
+from . import checked, kernels, relational
 from .sql import Check, Spark
 
 
@@ -22,8 +22,8 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in relational.TEMPLATES} | kernels.QUERIES
-ORACLES: dict[str, str] = {n: f(Check) for n, f in relational.TEMPLATES.items()} | kernels.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in relational.TEMPLATES} | kernels.QUERIES | checked.QUERIES
+ORACLES: dict[str, str] = {n: f(Check) for n, f in relational.TEMPLATES.items()} | kernels.ORACLES | checked.ORACLES | {"noise_lcg": checked.LCG_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

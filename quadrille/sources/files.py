@@ -28,6 +28,9 @@ def to_gray(raw: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for origin, h, w, n, data in zip(*(b.column(c).to_pylist() for c in ("origin", "height", "width", "nChannels", "data")), strict=True):
+                if data is None:  # nothing to decode: an image without pixels, which has no detections
+                    yield pa.RecordBatch.from_arrays([pa.array([origin], pa.string()), *(pa.array([x], pa.int32()) for x in (w, h, w)), pa.array([None], pa.binary())], ["image_id", "width", "height", "stride", "data"])
+                    continue
                 p = np.frombuffer(data, np.uint8).reshape(h, w, n)
                 gray = p[..., 0] if n == 1 else (29 * p[..., 0].astype(np.uint32) + 150 * p[..., 1] + 77 * p[..., 2] >> 8).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([pa.array([origin]), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([np.ascontiguousarray(gray).tobytes()], pa.binary())], ["image_id", "width", "height", "stride", "data"])
@@ -41,6 +44,18 @@ def to_json(per_image: DataFrame, path: str, pretty: bool = False) -> None:
     per_image.select(text.alias("value")).write.text(path, lineSep="\n")
 
 
+def truth_json(truth: DataFrame, path: str) -> None:
+    """One JSON object for each image with all that lies in it, to go beside its encoded() file."""
+    fields = [c for c in truth.columns if c != "image_id"]
+    listed = truth.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("family", "id", *[c for c in fields if c not in ("family", "id")]))).alias("tags"))
+    listed.select(F.to_json(F.struct(F.col("image_id").alias("file"), "tags")).alias("value")).write.text(path)
+
+
+def report_json(reports: DataFrame, path: str) -> None:
+    """A line of JSON for each scenario of a report; its totals come from operators.evaluate.totals()."""
+    reports.select(F.to_json(F.struct(*reports.columns)).alias("value")).write.text(path)
+
+
 def png(img: np.ndarray) -> bytes:
     """An 8-bit PNG: gray for two dimensions, RGBA for three."""
     h, w = img.shape[:2]

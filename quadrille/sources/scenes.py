@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import catalog
 from ..kernel import scenes as kernel
@@ -48,3 +49,12 @@ def truth(scenarios: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return scenarios.select("name", "scene").mapInArrow(run, TRUTH)
+
+
+def generate_scene(spark: SparkSession, scene: dict) -> DataFrame:
+    """One scene ({width, height, background, tags, distortions}) as a row: the image's columns and ``tags``, its truth."""
+    whole = {"name": "scene", "category": "made", "max_corner_rmse": 0.0, "max_rotation_error_deg": None, "quad_decimate": None, "distortions": []} | scene
+    table = scenario_table(spark, [whole])
+    fields = [c for c in truth(table).columns if c != "image_id"]
+    listed = truth(table).groupBy("image_id").agg(F.collect_list(F.struct(*fields)).alias("tags"))
+    return images(table).join(listed, "image_id", "left")
