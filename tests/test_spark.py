@@ -14,10 +14,11 @@ import pytest
 import __spark_entry__ as entry
 from quadrille import catalog
 from quadrille.families import SPECS, Family, family, generate, make_layout, with_codes
-from quadrille.kernel import quads
+from quadrille.kernel import quads, regions
 from quadrille.kernel import scenes as kernel
 from quadrille.kernel.detecting import Config, Detector
 from quadrille.operators import evaluate
+from quadrille.operators.components import components
 from quadrille.operators.detect import detect, estimate_pose, gray_images, per_image, register_sql, rgba_images
 from quadrille.plans import kernels, registry
 from quadrille.plans.relational import TABLES
@@ -254,3 +255,16 @@ def test_the_rest_works_without_the_text_operators(tmp_path):
 def test_catalog_names():
     names = {s["name"] for s in catalog.scenarios("noise")}
     assert {f"noise-sigma{s}" for s in (5, 10, 20, 40)} <= names
+
+
+@pytest.mark.parametrize("rows", [1, 7, 64])
+def test_regions_of_strips(spark, rows):
+    rng = np.random.default_rng(rows)
+    imgs = [rng.choice(np.array([0, 127, 255], np.uint8), (60, 45), p=p) for p in ((0.45, 0.1, 0.45), (0.7, 0.05, 0.25))] + [np.zeros((1, 3), np.uint8), np.full((5, 4), 127, np.uint8)]
+    df = spark.createDataFrame([(str(i), a.shape[1], a.shape[0], a.shape[1], a.tobytes()) for i, a in enumerate(imgs)] + [("none", 1, 1, 1, None)], "image_id string, width int, height int, stride int, data binary")
+    got = sorted(tuple(r) for r in components(df, rows).collect())
+    want = []
+    for i, a in enumerate(imgs):
+        region, size = regions.label(a)
+        want += [(str(i), int(r), int(size[r])) for r in np.unique(region[a != 127])]
+    assert got == sorted(want)
