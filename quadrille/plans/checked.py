@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..families import CLASSIC, SPECS, STEP, Complexity, family, first_candidate, hamming, make_layout, rotate90, upgrade
 from ..kernel import decoding, pixels, regions, scenes
+from ..kernel.detecting import Config, Detector
 from ..operators import evaluate
-from ..operators.detect import estimate_pose
+from ..operators.detect import estimate_pose, yaw_correction
 from . import relational
 from .sql import Check, Spark
 
@@ -346,6 +347,19 @@ def median_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MEDIAN_SQL = "SELECT event_type, u, us AS median FROM (SELECT event_type, user_id % 10 AS u, value AS us, row_number() OVER (PARTITION BY event_type, user_id % 10 ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type, user_id % 10) AS n FROM events) WHERE k = n // 2 + 1"
 
+
+
+def yaw_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations turned back by rotations about the vertical axis."""
+    k = F.col("p_partkey").cast("double")
+    a, zero = (k % 31 - 15) * 0.1, F.lit(0.0)
+    out = yaw_correction(F.array(F.cos(a), zero, F.sin(a), zero, F.lit(1.0), zero, -F.sin(a), zero, F.cos(a)), F.array(k % 7, k % 5, 3 + k % 11))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), *[F.round(out[i], 6).alias(f"t{i}") for i in range(3)])
+
+
+YAW_SQL = """SELECT p_partkey AS k, round(p_partkey % 7 * cos(a) + (3 + p_partkey % 11) * sin(a), 6) AS t0, round((p_partkey % 5)::DOUBLE, 6) AS t1, round((3 + p_partkey % 11) * cos(a) - p_partkey % 7 * sin(a), 6) AS t2
+FROM (SELECT *, (p_partkey % 31 - 15) * 0.1::DOUBLE AS a FROM part)"""
+
 # ---- poses ----
 
 CAMERA = {"tagsize": 0.2, "fx": 400.0, "fy": 420.0, "cx": 60.0, "cy": 55.0}
@@ -542,6 +556,72 @@ def _truth_sql() -> str:
     SELECT k, {", ".join(f"round({e}, 5) AS c{i}" for i, e in enumerate(corners))}, {", ".join(f"round({e}, 5) AS r{i}" for i, e in enumerate(rotation))}, 0.0::DOUBLE AS t0, 0.0::DOUBLE AS t1, 4.0::DOUBLE AS t2 FROM ab"""
 
 
+# ---- whole detection ----
+
+PAIR = ("tag36h11", "tag25h9")
+
+
+def _shown(k: int) -> dict:
+    place = {"family": PAIR[k % 2], "id": k % 30, "kind": "similarity", "cx": 100.0 + k % 11 * 0.3, "cy": 95.0 + k % 7 * 0.4, "scale": 40.0 + k % 13, "theta": k * 0.1}
+    return {"name": str(k), "category": "made", "width": 200, "height": 190, "background": {"kind": "solid", "value": 150}, "tags": [place], "distortions": [], "max_corner_rmse": 1.0, "max_rotation_error_deg": None, "quad_decimate": 2.0}
+
+
+def detect_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of a marker for each supplier, read by two families at once, and whether all corners and the center
+    lie within a pixel of where they were placed."""
+
+    def one(k):
+        scene = _shown(k)
+        truth = scenes.truth(scene["tags"][0])
+        detector = _detector()
+        for d in detector.detect(scenes.build(scene)):
+            far = max(np.abs(d["corners"] - truth["corners"]).max(), np.abs(np.array(d["center"]) - truth["center"]).max())
+            yield k, d["family"], d["id"], d["hamming"], bool(far < 1)
+
+    return _rows(_table(spark, sf_dir, "supplier").select("s_suppkey"), one, "k long, family string, id int, hamming int, near boolean")
+
+
+@cache
+def _detector() -> Detector:
+    return Detector(Config(families=PAIR))
+
+
+SHOWN_SQL = f"SELECT s_suppkey AS k, CASE s_suppkey % 2 {' '.join(f'WHEN {i} THEN {chr(39)}{f}{chr(39)}' for i, f in enumerate(PAIR))} END AS family, (s_suppkey % 30)::INT AS id, 0 AS hamming, true AS near FROM supplier"
+
+
+def _search_sql(name: str) -> str:
+    """The family's search: every candidate's edges and turns, then the first one that is far from all before it, again
+    and again."""
+    kind, size, data, far, need = SPECS[name]
+    lay = make_layout(kind, size, data)
+    at = {(x + lay.border_start, y + lay.border_start): lay.nbits - 1 - i for i, (x, y) in enumerate(lay.bits())}
+    terms, fixed = [], 0
+    for y in range(size):
+        for x in range(size):
+            for q in ((x + 1, y), (x, y + 1)):
+                if max(q) >= size:
+                    continue
+                a, b = at.get((x, y)), at.get(q)
+                if a is not None and b is not None:
+                    terms.append(f"((code >> {a}) + (code >> {b})) % 2")
+                elif a is None and b is None:
+                    fixed += {lay.cell(x, y), lay.cell(*q)} == {"b", "w"}
+                else:
+                    color = lay.cell(*q) if b is None else lay.cell(x, y)
+                    terms += [f"{int(color == 'w')} + {1 if color == 'b' else -1} * ((code >> {b if a is None else a}) & 1)"] * (color in "bw")
+    low, quarter = int(lay.nbits % 4 == 1), lay.nbits // 4
+    turn = lambda v: f"((((({v} >> {low}) << {quarter}) | ({v} >> {low + 3 * quarter})) & {(1 << 4 * quarter) - 1}) << {low}) | ({v} & {low})"
+    start, count = first_candidate(lay, far, need), sum(c != "x" for c in lay.cells)
+    return f"""WITH RECURSIVE cd AS (SELECT k, ((({start}::HUGEINT + k * {STEP}::HUGEINT) % {1 << lay.nbits})::BIGINT) AS code FROM (SELECT unnest(range(1, {(1 << lay.nbits) + 1})) AS k)),
+    en AS (SELECT k, code, {turn("code")} AS r1 FROM cd WHERE 3 * ({fixed} + {" + ".join(terms)}) >= {2 * count}),
+    tw AS (SELECT *, {turn("r1")} AS r2 FROM en), th AS (SELECT *, {turn("r2")} AS r3 FROM tw),
+    sv AS MATERIALIZED (SELECT * FROM th WHERE bit_count(xor(code, r1)) >= {far} AND bit_count(xor(code, r2)) >= {far}),
+    g(n, k, code, r1, r2, r3) AS (SELECT 0, k, code, r1, r2, r3 FROM sv UNION ALL
+        SELECT n + 1, k, code, r1, r2, r3 FROM (SELECT *, min(k) OVER () AS k0, {", ".join(f"first_value({c}) OVER (ORDER BY k) AS c{i}" for i, c in enumerate(("code", "r1", "r2", "r3")))} FROM g)
+        WHERE k > k0 AND {" AND ".join(f"bit_count(xor(code, c{i})) >= {far}" for i in range(4))})
+    SELECT n::INT AS id, arg_min(code, k) AS code FROM g GROUP BY n"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bilinear_samples": bilinear_samples,
     "noise_pixels": _of_small(lambda a: scenes.noise(a, 10.0, 42)),
@@ -557,6 +637,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spare_detections": spare_detections,
     "compare_detectors": compare_detectors,
     "pose_errors": pose_errors,
+    "yaw_corrections": yaw_corrections,
     "median_times": median_times,
     "pose_estimate": pose_estimate,
     "layouts": layouts,
@@ -564,6 +645,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upgraded_codes": upgraded_codes,
     "scene_pixels": scene_pixels,
     "scene_truth": scene_truth,
+    "detect_shown": detect_shown,
 }
 ORACLES: dict[str, str] = {
     "bilinear_samples": BILINEAR_SQL,
@@ -580,6 +662,7 @@ ORACLES: dict[str, str] = {
     "spare_detections": f"WITH {RESULTS} SELECT img::VARCHAR AS image_id, k FROM spare",
     "compare_detectors": COMPARE_SQL,
     "pose_errors": POSE_ERRORS_SQL,
+    "yaw_corrections": YAW_SQL,
     "median_times": MEDIAN_SQL,
     "pose_estimate": _pose_sql(),
     "layouts": LAYOUTS_SQL,
@@ -587,4 +670,7 @@ ORACLES: dict[str, str] = {
     "upgraded_codes": _upgraded_sql(),
     "scene_pixels": _scene_sql(),
     "scene_truth": _truth_sql(),
+    "detect_shown": SHOWN_SQL,
+    "gen_codes_21h7": _search_sql("tagCircle21h7"),
+    "noise_lcg": LCG_SQL,
 }

@@ -23,7 +23,7 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in relational.TEMPLATES} | kernels.QUERIES | checked.QUERIES
-ORACLES: dict[str, str] = {n: f(Check) for n, f in relational.TEMPLATES.items()} | kernels.ORACLES | checked.ORACLES | {"noise_lcg": checked.LCG_SQL}
+ORACLES: dict[str, str] = {n: f(Check) for n, f in relational.TEMPLATES.items()} | kernels.ORACLES | checked.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
