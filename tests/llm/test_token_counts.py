@@ -43,3 +43,38 @@ def test_another_library_version_is_apart(monkeypatch, name, library):
 
 def test_empty(spark, tmp_path):
     assert token_counts.count_tokens(cases.empty(spark), str(tmp_path / "c"), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_a_second_run_encodes_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "shared_dir", lambda spark: f"file://{tmp_path}")
+    first = token_counts.query(spark, cases.SF).collect()
+    stored = sorted(spark.read.parquet(f"{tmp_path}/quadrille-token-counts").inputFiles())
+    seen = []
+    real = token_counts.encode_missing
+    monkeypatch.setattr(token_counts, "encode_missing", lambda texts, missing, *a: (seen.append(missing.count()), real(texts, missing, *a)))
+    second = token_counts.query(spark, cases.SF).collect()
+    assert seen == [0] and sorted(spark.read.parquet(f"{tmp_path}/quadrille-token-counts").inputFiles()) == stored
+    assert sorted(map(tuple, first)) == sorted(map(tuple, second))
+    lib = encoders.load(P.path("piece_bpe_32k.model")).library
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{cases.SF}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in first} == {i: len(lib.encode(t)) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_many_and_few_missing(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(token_counts, "MAX_BROADCAST_ROWS", most)
+    cache, path = str(tmp_path / "c"), P.path("piece_bpe_32k.model")
+    rows = [(i, f"text number {i % 40}", "en", "a", 1) for i in range(90)]
+    for some in (rows[:30], rows):
+        got = token_counts.count_tokens(cases.docs(spark, some), cache, path).collect()
+        assert len(got) == len(some)
+    assert spark.read.parquet(cache).count() == 40
+
+
+def test_a_digest_stored_twice_counts_once(spark, tmp_path):
+    cache, path = str(tmp_path / "c"), P.path("piece_bpe_32k.model")
+    df = cases.docs(spark)
+    want = sorted(map(tuple, token_counts.count_tokens(df, cache, path, keep=["text"]).collect()), key=str)
+    again = spark.createDataFrame(spark.read.parquet(cache).toPandas()[["digest", "n_tokens", "version"]], token_counts.SCHEMA)
+    again.write.mode("append").partitionBy("version").parquet(cache)
+    assert sorted(map(tuple, token_counts.count_tokens(df, cache, path, keep=["text"]).collect()), key=str) == want
