@@ -84,6 +84,7 @@ class WordEncoder:
     _MARK = "\ue000"
     _UNIT = re.compile(f"{_MARK}|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}{_MARK}]+")
     _OUTSIDE = re.compile("[^\x00-\u012f\u0131-\u017f]")
+    _KNOWN_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]  # noqa: RUF012
     _KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
@@ -94,10 +95,10 @@ class WordEncoder:
             spec = json.load(f)
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        normal = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        normal = (spec.get("normalizer") or {}).get("normalizers")
         first = steps[0]
         self.by_word = (
-            normal == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and first.get("pattern") == {"Regex": self._KNOWN_SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+            normal == self._KNOWN_NORMAL and len(steps) == 2 and first.get("pattern") == {"Regex": self._KNOWN_SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
             and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex") and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
         )
         if self.by_word:

@@ -42,3 +42,18 @@ def test_small_tables_and_chunks(monkeypatch, name):
     want = [len(x.ids) for x in lib.encode_batch(texts(), add_special_tokens=False)] if name.endswith("json") else [len(x) for x in lib.encode(texts())]
     assert e.counts(texts()) == want
     assert e.counts([]) == []
+
+
+def test_another_normaliser_goes_to_the_library(tmp_path):
+    import json
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert encoders.load(P.path("word_bpe_49k.json")).by_word
+    spec["normalizer"]["normalizers"][1]["content"] = "x"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    coder = encoders.WordEncoder(str(other))
+    assert not coder.by_word
+    flat, _ = coder.encode(["some words here"])
+    assert flat.tolist() == coder.library.encode("some words here", add_special_tokens=False).ids
