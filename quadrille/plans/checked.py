@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from ..families import CLASSIC, SPECS, STEP, Complexity, family, first_candidate
 from ..kernel import decoding, pixels, regions, scenes
 from ..kernel.detecting import Config, Detector
 from ..operators import evaluate
-from ..operators.detect import estimate_pose, yaw_correction
+from ..operators.detect import estimate_pose, gray_images, rgba_images, yaw_correction
+from ..sources.files import encoded
 from . import relational
 from .sql import Check, Spark
 
@@ -118,6 +120,39 @@ def _along(source: str, axis: str, name: str) -> str:
 
 GAUSSIAN_SQL = f"WITH {SMALL}, taps AS (SELECT * FROM {_values(((i - _REACH, k) for i, k in enumerate(_TAPS)), 'o, k')}), {_along('px8', 'x', 'h8')}, {_along('h8', 'y', 'b8')} SELECT img, y::INT AS y, x::INT AS x, v FROM b8"
 
+def _buffers(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """Images as buffers of bytes with a stride of size."""
+
+    @F.pandas_udf("binary")
+    def packed(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: np.asarray(x, np.uint8).tobytes())
+
+    n = F.lit(size)
+    return small_images(spark, sf_dir).select("img", n.alias("w"), F.lit(64 // size).alias("h"), n.alias("s"), packed("v").alias("data"))
+
+
+def pgm_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the images' PGM files, of six columns of the eight that the buffers hold."""
+    images = gray_images(_buffers(spark, sf_dir, 8).withColumn("w", F.lit(6)), "img", "w", "h", "data", "s")
+    return encoded(images).select(F.col("image_id").cast("long").alias("img"), F.length("file").alias("bytes"), F.md5("file").alias("md5"))
+
+
+PGM_SQL = f"""WITH {SMALL}, rw AS (SELECT img, string_agg(printf('%02x', v), '' ORDER BY y, x) AS h FROM px8 WHERE x < 6 GROUP BY img)
+SELECT img, 59 AS bytes, md5(unhex('50350a3620380a3235350a' || h)) AS md5 FROM rw"""
+
+
+def gray_of_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray values of 4 x 4 RGBA buffers."""
+    images = rgba_images(_buffers(spark, sf_dir, 4).withColumn("h", F.lit(4)), "img", "w", "h", "data")
+
+    def one(image_id, data):
+        return ((int(image_id), i, int(v)) for i, v in enumerate(data))
+
+    return _rows(images.select("image_id", "data"), one, "img long, i int, v int")
+
+
+RGBA_SQL = f"WITH {SMALL} SELECT img, i::INT AS i, ((77 * v[4 * i + 1] + 150 * v[4 * i + 2] + 29 * v[4 * i + 3]) >> 8)::INT AS v FROM im, (SELECT unnest(range(16)) AS i)"
+
 # ---- regions of 8 x 8 ternary images ----
 
 
@@ -624,6 +659,8 @@ def _search_sql(name: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bilinear_samples": bilinear_samples,
+    "pgm_files": pgm_files,
+    "gray_of_rgba": gray_of_rgba,
     "noise_pixels": _of_small(lambda a: scenes.noise(a, 10.0, 42)),
     "salt_pepper_pixels": _of_small(lambda a: scenes.salt_pepper(a, 0.2, 7)),
     "gaussian_pixels": _of_small(lambda a: scenes.gaussian(a, _SIGMA)),
@@ -649,6 +686,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "bilinear_samples": BILINEAR_SQL,
+    "pgm_files": PGM_SQL,
+    "gray_of_rgba": RGBA_SQL,
     "noise_pixels": NOISE_SQL,
     "salt_pepper_pixels": SALT_SQL,
     "gaussian_pixels": GAUSSIAN_SQL,

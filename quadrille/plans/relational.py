@@ -259,6 +259,7 @@ TEMPLATES: dict[str, Callable] = {
     "match_truth": lambda d: with_(found(d)) + "SELECT img, fam, CAST(n AS BIGINT) AS n, tk, dk FROM pair",
     "false_positives": lambda d: with_(found(d)) + "SELECT img, fam, k FROM det WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.img = det.img AND t.fam = det.fam AND t.n = det.n)",
     "rmse_by_category": lambda d: with_(reports(d)) + "SELECT category, count(*) AS images, round(avg(rmse), 6) AS rmse, round(max(rmse), 6) AS worst FROM rep GROUP BY category",
+    "distinct_markers": lambda d: with_(found(d)) + "SELECT DISTINCT img, fam FROM det",
     "report_totals": lambda d: with_(reports(d)) + "SELECT count(*) AS total, count(CASE WHEN detected >= expected AND rmse <= 5 THEN 1 END) AS passed, count(CASE WHEN NOT (detected >= expected AND rmse <= 5) THEN 1 END) AS failed FROM rep",
     "subtotals": lambda d: with_(reports(d)) + "SELECT category, mode, count(*) AS images, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(detected) AS BIGINT) AS detected FROM rep GROUP BY GROUPING SETS ((category, mode), (category), (mode), ())",
     "distort_contrast": lambda d: with_(pixels(d)) + f"SELECT img, y, x, {HALF_UP.format('m + 0.25 * (v - m)')} AS v FROM (SELECT *, round(avg(v) OVER (PARTITION BY img), 6) AS m FROM px) s",
