@@ -3,11 +3,14 @@
 Documents are sets of word windows (five words; a text with fewer words is one window). Equal texts form a class and
 are compared once. Every class gets MinHash values; classes that share all values of a band meet. There, pairs compare
 their values a stretch at a time: with m of n values equal, and no prior knowledge, the similarity's posterior is
-Beta(1 + m, 1 + n - m), and a pair goes when its chance to reach the threshold falls below ``tolerance``. Pairs that
-remain join classes to candidate groups, and within each group all pairs are verified exactly on their window sets.
+Beta(1 + m, 1 + n - m), and a pair goes when its chance to reach the threshold falls below ``tolerance``. Of each value
+one byte is compared; bytes of unequal values agree by chance once in 256, which keeps a pair rather than drops it. Pairs
+that remain join classes to candidate groups, and within each group all pairs are verified exactly on their window sets.
 
-No pair becomes a row: a bucket yields edges to one of its members, a group yields a count of links for each member.
-Buckets and groups over ``BLOCK`` members are dealt as pairs of blocks, so a task never holds more than two blocks.
+No pair becomes a row: a bucket yields edges to one of its members, a group yields a count of links for each member. A
+text is read, and a class's window set shuffled, once; only in groups whose sets are over ``BLOCK_BYTES`` does a set go
+to as many tasks as the group has blocks of that size, and buckets are dealt likewise by ``BUCKET_ROWS``. So a task never
+holds more than two blocks. Keys with many rows (buckets, hubs) are joined as ``graph.with_value`` says.
 
 A pair at the threshold shares no band with a chance of (1 - t^ROWS)^BANDS, 3e-6 at 0.8, and is pruned wrongly with
 about ``tolerance`` at each stretch. Windows are compared by 64-bit hashes.
@@ -15,7 +18,7 @@ about ``tolerance`` at each stretch. Windows are compared by 64-bit hashes.
 Defined cases: a null text is a class of its own, with no links. Equal texts without a word are copies but have no
 links. Repeated rows are copies like any others. Rows that share an id but not the text are one document: what is
 linked to either is in its class. Null ids take part, but a class or copy whose ids are all null has a null number;
-ids must be under 2^62. An empty table gives an empty result.
+ids are whole numbers under 2^62. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, WORD_PATTERN, materialize
-from .graph import components
+from .common import MAX_BROADCAST_ROWS, WORD_PATTERN, lean, materialize, scratch
+from .graph import components, with_value
 
 WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
 BANDS, ROWS = 32, 5
 STRETCH = 32
-BLOCK = 1024
+#: Bytes of window sets in a block of a group, members in a block of a bucket, and sets that are compared at once.
+BLOCK_BYTES, BUCKET_ROWS, AT_ONCE = 16 << 20, 16_384, 1024
+#: Words whose hashes a task remembers.
+MAX_WORDS = 200_000
 #: Classes whose ids are all null get numbers from here on.
 NAMELESS = 1 << 62
 _WORD = re.compile(WORD_PATTERN)
@@ -53,7 +59,7 @@ _SCALE, _SHIFT = _odd(BANDS * ROWS, 2)[:, None], _odd(BANDS * ROWS, 3)[:, None]
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > MAX_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -153,13 +159,12 @@ def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.concat_tables(held)
 
 
-def _blocks(df: DataFrame, size: Column, key: list[str], member: str) -> DataFrame:
-    """df with block numbers b1 <= b2: rows of a key with more than BLOCK members go to every pair with their block."""
-    n = F.ceil(size / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64(member), n).cast("int")
-    df = df.withColumn("__q_n", n).withColumn("__q_b", mine)
+def _blocks(df: DataFrame, blocks: Column, member: str) -> DataFrame:
+    """df with block numbers b1 <= b2 and a row's own: rows of a key with several blocks go to every pair with theirs."""
+    df = df.withColumn("__q_n", F.greatest(blocks, F.lit(1)).cast("int"))
+    df = df.withColumn("own", F.pmod(F.xxhash64(member), F.col("__q_n")).cast("int"))
     df = df.withColumn("__q_o", F.explode(F.sequence(F.lit(0), F.col("__q_n") - 1)))
-    return df.select(*[c for c in df.columns if not c.startswith("__q_")], F.least("__q_b", "__q_o").alias("b1"), F.greatest("__q_b", "__q_o").alias("b2"), F.col("__q_b").alias("own"))
+    return df.withColumns({"b1": F.least("own", "__q_o"), "b2": F.greatest("own", "__q_o")}).drop("__q_n", "__q_o")
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -175,7 +180,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 sigs.append(signature(w).tobytes() if len(w) else None)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(sigs, pa.binary())], ["id", "key", "sig"])
 
-    signed = source.mapInArrow(sign, "id long, key binary, sig binary")
+    signed = source.mapInArrow(lean(sign, _hashes.clear), "id long, key binary, sig binary")
     nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("key"), F.lit(NAMELESS >> 1))
     return signed.groupBy("key").agg(F.coalesce(F.min("id"), nameless).alias("rep"), F.count("*").alias("size"), F.any_value("sig").alias("sig"))
 
@@ -216,91 +221,141 @@ def candidates(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     signed = reps.where("sig IS NOT NULL").select("rep", "sig")
-    member = signed.mapInArrow(_memberships, "bucket long, rep long")
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    member = member.join(shared, "bucket")
-    lows = signed.mapInArrow(narrow, f"rep long, {low}")
-    dealt = _blocks(member.join(lows, "rep"), F.col("n"), ["bucket"], "rep").select("bucket", "b1", "b2", "rep", "low")
-    dealt = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
-    return dealt.mapInArrow(join, "u long, v long")
-
-
-def exact_links(sets: list[np.ndarray], own: np.ndarray, b1: int, b2: int, threshold: float) -> np.ndarray:
-    """Which pairs of sets reach the threshold; of two blocks only pairs across them."""
-    k = len(sets)
-    n = np.array([len(s) for s in sets], np.int64)
-    items = np.concatenate(sets)
-    who = np.repeat(np.arange(k), n)
-    _, col, times = np.unique(items, return_inverse=True, return_counts=True)
-    keep = times[col] > 1
-    who, col = who[keep], np.unique(col[keep], return_inverse=True)[1]
-    both = np.zeros((k, k), np.float32)
-    width = max(1, 8_000_000 // k)
-    order = np.argsort(col, kind="stable")
-    who, col = who[order], col[order]
-    for a in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        lo, hi = np.searchsorted(col, [a, a + width])
-        m = np.zeros((k, min(width, int(col[-1]) + 1 - a)), np.float32)
-        m[who[lo:hi], col[lo:hi] - a] = 1
-        both += m @ m.T
+    with scratch() as put:
+        member = put(signed.mapInArrow(_memberships, "bucket long, rep long"), "buckets")
+        shared = put(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+        total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        lows = signed.mapInArrow(narrow, f"rep long, {low}")
+        dealt = with_value(member, shared, "bucket", "n", total).join(lows, "rep")
+        dealt = _blocks(dealt, F.ceil(F.col("n") / BUCKET_ROWS), "rep").select("bucket", "b1", "b2", "rep", "low")
+        dealt = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
+        return materialize(dealt.mapInArrow(lean(join), "u long, v long"), "candidates")
+
+
+def exact_links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of a left and a right set reach the threshold."""
+    n = [np.array([len(s) for s in sets], np.int64) for sets in (left, right)]
+    col = np.unique(np.concatenate([*left, *right]), return_inverse=True)[1]
+    cols = np.split(col, [int(n[0].sum())])
+    # Only windows of both sides count.
+    width = int(col.max()) + 1 if len(col) else 0
+    both_sides = np.bincount(cols[0], minlength=width).astype(bool) & np.bincount(cols[1], minlength=width).astype(bool)
+    place = np.cumsum(both_sides) - 1
+    sides = []
+    for sizes, c in zip(n, cols, strict=True):
+        keep = both_sides[c]
+        who, at = np.repeat(np.arange(len(sizes)), sizes)[keep], place[c[keep]]
+        order = np.argsort(at, kind="stable")
+        sides.append((who[order], at[order]))
+    both = np.zeros((len(left), len(right)), np.float32)
+    step = max(1, 4_000_000 // max(len(left), len(right)))
+    for a in range(0, int(both_sides.sum()), step):
+        m = []
+        for (who, at), sizes in zip(sides, n, strict=True):
+            lo, hi = np.searchsorted(at, [a, a + step])
+            one = np.zeros((len(sizes), step), np.float32)
+            one[who[lo:hi], at[lo:hi] - a] = 1
+            m.append(one)
+        both += m[0] @ m[1].T
     both = both.astype(np.int64)
-    ok = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
-    np.fill_diagonal(ok, False)
-    if b1 != b2:
-        ok &= own[:, None] != own[None, :]
-    return ok
+    return both >= threshold * (n[0][:, None] + n[1][None, :] - both) - 1e-9
 
 
-def verify(members: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
-    """members: (comp, size, rep, text). Gives (rep, links) with the exact links in each task, and the edges (u, v)
+def least_linked(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least place that links (u, v) join to each place, from the labels so far."""
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not (label[label] == label).all():
+            label = label[label]
+    return label
+
+
+def count_links(sets: list[np.ndarray], own: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set how many others reach the threshold, and the least place that links join to it; across: only pairs
+    of different own count."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    parts = [order[i : i + AT_ONCE] for i in range(0, len(order), AT_ONCE)]
+    links, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    for i, a in enumerate(parts):
+        for b in parts[i:]:
+            if sizes[a[-1]] < threshold * sizes[b[0]] - 1e-9:
+                break  # sets of such sizes can't reach it
+            ok = exact_links([sets[k] for k in a], [sets[k] for k in b], threshold)
+            if across:
+                ok &= own[a][:, None] != own[b][None, :]
+            if a is b:
+                np.fill_diagonal(ok, False)
+            links[a] += ok.sum(1)
+            if a is not b:
+                links[b] += ok.sum(0)
+            x, y = np.nonzero(ok)
+            label = least_linked(label, a[x], b[y])
+    return links, label
+
+
+def verify(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """members: (comp, rep, items), a table. Gives (rep, links) with the exact links in each task, and the edges (u, v)
     that join what the links do, one for each class at most in a task."""
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["comp", "b1", "b2"]):
-            reps, own = t.column("rep").to_numpy(), t.column("own").to_numpy()
-            sets = [windows(x, width) for x in t.column("text").to_pylist()]
-            ok = exact_links(sets, own, t.column("b1")[0].as_py(), t.column("b2")[0].as_py(), threshold)
-            root = np.arange(len(reps))
-            while True:  # the least representative that links reach
-                ids = reps[root]
-                near = np.where(ok, ids[None, :], np.iinfo(np.int64).max).min(1)
-                better = near < ids
-                if not better.any():
-                    break
-                at = {int(r): i for i, r in enumerate(reps)}
-                root[better] = [root[at[int(x)]] for x in near[better]]
-            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(ok.sum(1).astype(np.int64)), pa.array(reps[root])], ["rep", "links", "low"])
-
-    dealt = _blocks(members, F.col("size"), ["comp"], "rep").select("comp", "b1", "b2", "own", "rep", "text")
-    dealt = dealt.repartition("comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2")
-    found = materialize(dealt.mapInArrow(check, "rep long, links long, low long"), "links")
+            t = t.sort_by("rep")
+            reps = t.column("rep").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
+            links, low = count_links(sets, t.column("own").to_numpy(), t.column("b1")[0] != t.column("b2")[0], threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(links), pa.array(reps[low])], ["rep", "links", "low"])
+
+    with scratch() as put:
+        sizes = put(members.groupBy("comp").agg(F.sum(F.octet_length("items") + 64).alias("bytes"), F.count("*").alias("n")), "sizes")
+        blocks = with_value(members, sizes, "comp", "n", members.count())
+        dealt = _blocks(blocks, F.ceil(F.col("bytes") / BLOCK_BYTES), "rep").select("comp", "b1", "b2", "own", "rep", "items")
+        dealt = dealt.repartition("comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2")
+        found = materialize(dealt.mapInArrow(lean(check), "rep long, links long, low long"), "links")
     return found.groupBy("rep").agg(F.sum("links").alias("links")), found.where("low <> rep").select(F.col("rep").alias("u"), F.col("low").alias("v"))
 
 
+def sets_of(docs: DataFrame, members: DataFrame, text_col: str, width: int) -> DataFrame:
+    """members (key, rep, comp), a table, as (comp, rep, items), with the window set of each one's text."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(F.col(text_col).cast("string"))).alias("key"), F.col(text_col).cast("string").alias("text"))
+    if members.count() <= MAX_BROADCAST_ROWS:  # other texts stay where they are
+        texts = texts.join(F.broadcast(members.select("key")), "key", "left_semi")
+    # Copies collapse in their tasks before the shuffle, so a hot text comes as a row of each task.
+    texts = texts.groupBy("key").agg(F.any_value("text").alias("text")).join(members, "key")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = [windows(t, width).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("comp"), b.column("rep"), pa.array(items, pa.binary())], ["comp", "rep", "items"])
+
+    return texts.select("comp", "rep", "text").mapInArrow(lean(cut, _hashes.clear), "comp long, rep long, items binary")
+
+
 def of_texts(docs: DataFrame, reps: DataFrame, text_col: str, width: int, threshold: float, tolerance: float) -> DataFrame:
     """reps: what classes() gives, as a table. A row for each of docs' texts: its digest ``r_key`` and, in the numbers of
     ``rep``, ``copy_id`` and ``class_id``; ``n_copies`` and ``n_links``."""
-    groups = materialize(components(candidates(reps, threshold, tolerance)), "groups")
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
-    members = reps.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep").join(sizes, "comp")
-    members = materialize(members.select("key", "rep", "comp", "size"), "members")
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(F.col(text_col).cast("string"))).alias("key"), F.col(text_col).cast("string").alias("text"))
-    small = members.count() <= MAX_BROADCAST_ROWS
-    found = texts.join(F.broadcast(members) if small else members, ["key"]).dropDuplicates(["key"])
-    links, edges = verify(found, threshold, width)
-    linked = materialize(components(edges), "linked")
-    of_rep = reps.select("key", "rep", "size").join(linked.select(F.col("node").alias("rep"), F.col("comp")), "rep", "left").join(links, "rep", "left")
-    of_rep = of_rep.select(F.col("key").alias("r_key"), F.col("rep").alias("copy_id"), F.col("size").alias("n_copies"), F.coalesce("comp", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    # A table of its own, so that both sides of the join come straight from their shuffles and a hot text is split.
-    return materialize(of_rep, "of-texts")
+    with scratch() as put:
+        groups = components(candidates(reps, threshold, tolerance))
+        members = put(reps.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep"), "members")
+        links, edges = verify(put(sets_of(docs, members, text_col, width), "sets"), threshold)
+        linked = components(edges)
+        of_rep = reps.select("key", "rep", "size").join(linked.select(F.col("node").alias("rep"), F.col("comp")), "rep", "left").join(links, "rep", "left")
+        of_rep = of_rep.select(F.col("key").alias("r_key"), F.col("rep").alias("copy_id"), F.col("size").alias("n_copies"), F.coalesce("comp", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+        # A table of its own, so that both sides of the join come straight from their shuffles and a hot text is split.
+        return materialize(of_rep, "of-texts")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """A row for each of docs: its id, ``class_id`` (the least id of the documents that chains of links join to it),
     ``copy_id`` (the least id with an equal text), ``n_copies`` (rows with an equal text) and ``n_links`` (distinct
     other texts with a similarity of at least threshold)."""
-    reps = materialize(classes(docs, id_col, text_col, width), "classes")
-    of_rep = of_texts(docs, reps, text_col, width, threshold, tolerance)
+    with scratch() as put:
+        of_rep = of_texts(docs, put(classes(docs, id_col, text_col, width), "classes"), text_col, width, threshold, tolerance)
     own = docs.select(F.col(id_col), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("__q_key"))
     out = own.join(of_rep, F.col("__q_key") == F.col("r_key"), "left")
     mine = F.col(id_col).cast("long")
@@ -323,12 +378,13 @@ def ranked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row of docs for each class of texts that chains of links join: a row with the least id (null: last; then the
     least digest). Unlike in join(), texts that share an id are apart unless they are linked. Rows without a text stay."""
-    ranks = materialize(ranked(docs, id_col, text_col), "ranks")
-    reps = classes(docs, id_col, text_col, width).drop("rep").join(ranks.select("key", F.col("rank").alias("rep")), "key")
-    found = of_texts(docs, materialize(reps, "classes"), text_col, width, threshold, tolerance)
-    wins = (F.col("class_id") == F.col("copy_id")).alias("__q_wins")
-    found = found.where("class_id <> copy_id OR n_copies > 1").join(ranks.select("key", "least", "most"), F.col("r_key") == F.col("key"))
-    found = materialize(found.select(F.col("key").alias("__q_key"), F.col("least").alias("__q_least"), F.col("most").alias("__q_most"), wins), "fates")
+    with scratch() as put:
+        ranks = put(ranked(docs, id_col, text_col), "ranks")
+        reps = classes(docs, id_col, text_col, width).drop("rep").join(ranks.select("key", F.col("rank").alias("rep")), "key")
+        found = of_texts(docs, put(reps, "classes"), text_col, width, threshold, tolerance)
+        wins = (F.col("class_id") == F.col("copy_id")).alias("__q_wins")
+        found = found.where("class_id <> copy_id OR n_copies > 1").join(ranks.select("key", "least", "most"), F.col("r_key") == F.col("key"))
+        found = materialize(found.select(F.col("key").alias("__q_key"), F.col("least").alias("__q_least"), F.col("most").alias("__q_most"), wins), "fates")
     few = lambda df: F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
     key = F.unhex(F.md5(docs[text_col].cast("string")))
     stays = F.col("__q_wins") & docs[id_col].cast("long").eqNullSafe(F.col("__q_least"))

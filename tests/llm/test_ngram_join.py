@@ -72,8 +72,39 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     want = brute(rows)
     assert max(x[4] for x in want) > 20
     assert found(cases.docs(spark, rows)) == want
-    monkeypatch.setattr(ngram_join, "BLOCK", 25)
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 7)
     assert found(cases.docs(spark, rows)) == want
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 25)
+    assert found(cases.docs(spark, rows)) == want
+
+
+@pytest.mark.parametrize("most", [0, 5])
+def test_without_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST_ROWS", most)
+    rows = near_copies(40, 6)
+    rows += [(500 + i, rows[3][1], "en", "a", 1) for i in range(25)]
+    assert found(cases.docs(spark, rows).repartition(5)) == brute(rows)
+    assert {r["doc_id"] for r in ngram_join.keep_one(cases.docs(spark, rows)).collect()} == {x[1] for x in brute(rows)}
+
+
+@pytest.mark.parametrize("share", [1 / 1000, 0.2])
+def test_hubs(spark, monkeypatch, share):
+    monkeypatch.setattr(graph, "HOT_SHARE", share)
+    edges = [(0, i) for i in range(1, 400)] + [(999, i) for i in range(300, 340)] + [(2000, 2001), (2001, 2002)]
+    got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(400), 0), 999: 0, 2000: 2000, 2001: 2000, 2002: 2000}
+
+
+def test_exact_links():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(70)]
+    want = np.array([[len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    assert (ngram_join.exact_links(sets[:30], sets[30:], 0.5) == want[:30, 30:]).all()
+    links, label = ngram_join.count_links(sets, np.zeros(70, int), False, 0.5)
+    assert (links == want.sum(1) - 1).all()
+    reach = np.linalg.matrix_power(want.astype(float), 64) > 0
+    assert label.tolist() == [int(np.flatnonzero(r)[0]) for r in reach]
 
 
 def test_keep_one(spark):
