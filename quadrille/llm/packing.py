@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .common import materialize, text_or_empty
+from .common import lean, materialize, text_or_empty
 
 WINDOW, END_ID, GROUP_ROWS = 2048, 1, 4096
 
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(cols, ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
     source = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(cut, f"id {id_type.simpleString()}, {schema}")
+    return source.mapInArrow(lean(cut), f"id {id_type.simpleString()}, {schema}")
 
 
 def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
