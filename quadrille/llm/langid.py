@@ -5,10 +5,14 @@ character n-grams, from the longest length down: the first length of which the m
 the known n-grams' log frequencies. A text's language is that of the largest sum.
 
 The model is fitted on a bounded sample: of every language at most about ``train_docs`` documents, drawn by a hash of
-their ids. That bounds the model's words and n-grams too, and so what is broadcast. Prediction is a map over whole
-texts: nothing is shuffled.
+their ids, and of a document at most its first ``train_chars`` code points. That bounds the model's words and n-grams
+too, and so what reaches the driver and is broadcast. Prediction is a map over whole texts: nothing is shuffled.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is every text where there is
+``score`` is the chance of the language among those learned, which nears 1 as texts grow, whatever they hold. So
+``known`` is given as well: the share of a text's words that the model has seen in the language it finds. Gibberish and
+languages that weren't learned have few.
+
+Defined cases: null texts and texts without a letter are ``und`` with scores 0, and so is every text where there is
 nothing to learn from. Ties go to the first language in alphabetical order. Repeated rows are each predicted alike.
 Columns in keep that clash with result columns are dropped.
 """
@@ -24,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import lean, text_or_empty
 from .encoders import chunks
 
-TRAIN_DOCS = 600
+TRAIN_DOCS, TRAIN_CHARS = 600, 50_000
 NGRAMS = (5, 4, 3, 2, 1)
 MIN_COUNT = 2
 #: Words whose scores a worker remembers.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 UND = "und"
+MADE = ["lang_pred", "score", "known"]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -69,6 +74,7 @@ class Model:
         often = table.sum(1) >= MIN_COUNT
         self.words = dict(zip((w for w, ok in zip(words, often, strict=True) if ok), range(int(often.sum())), strict=True))
         self.table = self._logs(table[often])
+        self.seen = (table[often] > 0).astype(np.float32)
         self.grams = grams
         self.gram_tables = {}
         for k in NGRAMS:
@@ -98,7 +104,8 @@ class Model:
     def _start(self) -> None:
         self._rows = _Rows(self.words)
         self._rows.new = []
-        self._scores = self.table
+        # The scores of each word, and whether the languages have it.
+        self._scores = np.concatenate([self.table, self.seen], 1)
 
     def _backoff(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)), np.float32)
@@ -118,8 +125,9 @@ class Model:
             left = rest
         return out
 
-    def predict(self, text: str) -> tuple[str, float]:
-        total, letters = np.zeros(len(self.langs)), False
+    def predict(self, text: str) -> tuple[str, float, float]:
+        """Language, score, and the share of the words that are known in it."""
+        k, total, n, letters = len(self.langs), np.zeros(2 * len(self.langs)), 0, False
         for part in chunks(text.lower()):
             words = _WORD.findall(part)
             if not words:
@@ -132,20 +140,21 @@ class Model:
                 new, self._rows.new = self._rows.new, []
                 self._extra(new)
             total += self._scores[at].sum(0, dtype=np.float64)
-        if not letters or not self.langs:
-            return UND, 0.0
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+            n += len(words)
+        if not letters or not k:
+            return UND, 0.0, 0.0
+        best = int(np.argmax(total[:k]))
+        return self.langs[best], float(1 / np.exp(np.minimum(total[:k] - total[best], 0)).sum()), float(total[k + best] / n)
 
     def _extra(self, new: list[str]) -> None:
         used = len(self._rows) - len(new)
         while len(self._rows) > len(self._scores):
-            more = np.zeros((max(1024, len(self._scores)), len(self.langs)), np.float32)
+            more = np.zeros((max(1024, len(self._scores)), 2 * len(self.langs)), np.float32)
             self._scores = np.concatenate([self._scores, more])
-        self._scores[used : used + len(new)] = self._backoff(new)
+        self._scores[used : used + len(new), : len(self.langs)] = self._backoff(new)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model:
     """A model of the documents that are not held out and have a language."""
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
@@ -153,7 +162,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model([])
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_docs / n))])[F.col(lang_col)]
     drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30) < share
-    sample = labelled.where(drawn).select(F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text"))
+    sample = labelled.where(drawn).select(F.col(lang_col).alias("lang"), F.substring(text_or_empty(text_col), 1, train_chars).alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,20 +180,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep, ``lang_pred`` and ``score`` of every row."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
+    """The columns in keep, ``lang_pred``, ``score`` and ``known`` of every row."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in MADE]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    # A text that is kept goes to Python once.
+    carried = text_col if text_col in keep and dict(docs.dtypes)[text_col] == "string" else None
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            cols = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + cols, b.schema.names[:-1] + ["lang_pred", "score"])
+            texts = b.column(carried or "__q_text")
+            found = [m.predict(t or "") for lo in range(0, b.num_rows, 512) for t in texts.slice(lo, 512).to_pylist()]
+            cols = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + cols, [*keep, *MADE])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text_col).alias("__q_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if carried else [text_or_empty(text_col).alias("__q_text")]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]]
+    return source.mapInArrow(lean(run), ", ".join([*fields, "lang_pred string", "score double", "known double"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -193,10 +206,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is found with a score of at least min_score, with docs' own columns."""
-    clash = ("lang_pred", "score")
-    names = {c: f"__c_{i}" if c.lower() in clash else c for i, c in enumerate(docs.columns)}
+def keep_identified(docs: DataFrame, min_score: float = 0.5, min_known: float = 0.15) -> DataFrame:
+    """The rows of docs whose language is found with a score of at least min_score, and min_known of whose words are
+    known in it, with docs' own columns. Where no language can be learned, all rows stay."""
+    names = {c: f"__c_{i}" if c.lower() in MADE else c for i, c in enumerate(docs.columns)}
     df = docs.withColumnsRenamed({a: b for a, b in names.items() if a != b})
-    out = predict(df, fit(df)).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    model = fit(df)
+    if not model.langs:
+        return docs
+    out = predict(df, model).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score) & (F.col("known") >= min_known))
     return out.select(*[F.col(f"`{b}`").alias(a) for a, b in names.items()])
