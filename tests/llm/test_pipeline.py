@@ -47,7 +47,7 @@ def test_stages(spark):
     assert first.columns == cols and {r["doc_id"] for r in first.select("doc_id").collect()} == kept_by_rules(docs.toPandas())
     second = materialize(pipeline.language_id(spark, first, cases.SF), "t2")
     model = langid.fit(first)
-    want = {r["doc_id"] for r in first.collect() if (p := model.predict(r["text"]))[0] != "und" and p[1] >= 0.5}
+    want = {r["doc_id"] for r in first.collect() if (p := model.predict(r["text"]))[0] != "und" and p[1] >= 0.5 and p[2] >= 0.15}
     assert second.columns == cols and {r["doc_id"] for r in second.collect()} == want
     third = materialize(pipeline.ngram_jaccard_join(spark, second, cases.SF), "t3")
     keep = {x[1] for x in classes([(r["doc_id"], r["text"]) for r in second.collect()])}
